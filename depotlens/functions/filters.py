@@ -7,7 +7,7 @@ import string
 from collections.abc import Sequence
 from typing import Literal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALL_DATES: Literal["all"] = "all"
@@ -64,16 +64,6 @@ def on_dates(df: DataFrame, column: str, dates: Dates, choices: DataFrame | None
     return df.where(F.col(column).isin(date_literals(dates)))
 
 
-def chosen_dates(spark: SparkSession, choices: DataFrame, column: str, dates: Dates) -> DataFrame:
-    """The chosen dates themselves, one per row, whether or not any row carries them."""
-    if dates == ALL_DATES:
-        return choices.select(column).where(F.col(column).isNotNull()).distinct()
-    if not dates:
-        return choices.agg(F.max(column).alias(column)).where(F.col(column).isNotNull())
-    days = F.array(*[F.lit(d) for d in date_literals(dates)])
-    return spark.range(1).select(F.explode(days).alias(column))
-
-
 def named(df: DataFrame, column: str, names: Sequence[str] | None) -> DataFrame:
     """Rows whose name is chosen; an empty choice does not filter."""
     return df.where(F.col(column).isin(list(names))) if names else df
@@ -92,6 +82,12 @@ def matching_like(df: DataFrame, column: str, term: str | None) -> DataFrame:
     return df.where(F.translate(column, string.ascii_uppercase, string.ascii_lowercase).like(pattern))
 
 
+def regex_found(column: str, term: str | None) -> Column:
+    """Whether the regular expression ``term`` is found, ignoring case; no term is found
+    everywhere."""
+    return F.col(column).rlike("(?iu)" + term) if term else F.lit(True)
+
+
 def matching_regex(df: DataFrame, column: str, term: str | None) -> DataFrame:
     """Rows in which the regular expression ``term`` is found, ignoring case."""
-    return df.where(F.col(column).rlike("(?iu)" + term)) if term else df
+    return df.where(regex_found(column, term)) if term else df

@@ -20,22 +20,24 @@ def _finding(spec: TableSpec, rule: str, column: str, violations: Column) -> Col
         F.coalesce(violations, F.lit(0)).cast("bigint").alias("violations"))
 
 
-def null_violations(df: DataFrame, spec: TableSpec) -> DataFrame | None:
-    """Rows with NULL in a key or NOT NULL column; all columns in one scan."""
-    columns = list(dict.fromkeys([*spec.key, *spec.not_null]))
-    if not columns:
-        return None
-    counts = [_finding(spec, NOT_NULL, c, F.count_if(F.col(c).isNull())) for c in columns]
-    return df.agg(F.array(*counts).alias("findings")).select(F.inline("findings"))
-
+def row_violations(df: DataFrame, spec: TableSpec) -> DataFrame | None:
+    """NULLs in key and NOT NULL columns, and rows beyond the first of each key.
 
-def key_violations(df: DataFrame, spec: TableSpec) -> DataFrame | None:
-    """Rows beyond the first of each key. Rows with a NULL key count as NULL violations."""
+    One pass: rows are counted per key, and everything is read off those counts. A row
+    with a NULL in its key is a NULL violation and never a copy.
+    """
     if not spec.key:
         return None
-    copies = df.dropna(subset=list(spec.key)).groupBy(*spec.key).agg(F.count(F.lit(1)).alias("n"))
-    finding = _finding(spec, PRIMARY_KEY, ",".join(spec.key), F.sum(F.col("n") - 1))
-    return copies.agg(finding.alias("finding")).select("finding.*")
+    per_key = df.groupBy(*spec.key).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in spec.not_null])
+    complete = reduce(Column.__and__, [F.col(c).isNotNull() for c in spec.key])
+    findings = [
+        *[_finding(spec, NOT_NULL, c, F.sum(F.when(F.col(c).isNull(), F.col("n")))) for c in spec.key],
+        *[_finding(spec, NOT_NULL, c, F.sum(f"nulls_{c}")) for c in spec.not_null],
+        _finding(spec, PRIMARY_KEY, ",".join(spec.key), F.sum(F.when(complete, F.col("n") - 1))),
+    ]
+    return per_key.agg(F.array(*findings).alias("findings")).select(F.inline("findings"))
 
 
 def orphan_violations(df: DataFrame, parent: DataFrame, spec: TableSpec, fk: ForeignKey) -> DataFrame:
@@ -56,8 +58,7 @@ def integrity_checks(tables: Tables, specs: Mapping[str, TableSpec] = SPECS) ->
     checks = []
     for spec in specs.values():
         df = tables[spec.name]
-        checks.append(null_violations(df, spec))
-        checks.append(key_violations(df, spec))
+        checks.append(row_violations(df, spec))
         for fk in spec.foreign_keys:
             checks.append(orphan_violations(df, tables[fk.parent], spec, fk))
     return reduce(DataFrame.unionByName, [c for c in checks if c is not None])

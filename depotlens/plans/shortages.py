@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.functions.filters import Dates, chosen_dates, matching_regex, on_dates
+from depotlens.functions.filters import Dates, matching_regex, on_dates, regex_found
 from depotlens.operators.date_sums import sum_by_date
 from depotlens.sources.reader import Tables
 
 
-def short_rows(tables: Tables) -> DataFrame:
-    """Every stock row below its product's safety stock, on all dates."""
+def short_rows(tables: Tables, *flags: Column) -> DataFrame:
+    """Every stock row below its product's safety stock, on all dates; ``flags`` are extra
+    columns computed once per product."""
+    products = tables["products"]
     return (
         tables["warehouse_stock"]
         .select("stock_date", "product_code", "warehouse_id", "quantity_available")
-        .join(tables["products"].select("product_code", "product_name", "safety_stock"), "product_code")
+        .join(products.select("product_code", "product_name", "safety_stock", *flags), "product_code")
         .where(F.col("quantity_available") < F.col("safety_stock"))
     )
 
@@ -40,13 +42,15 @@ def shortages_view(report: DataFrame) -> DataFrame:
     return report.drop("stock_date")
 
 
-def _sums(tables: Tables, dates: Dates, term: str | None, **sums) -> DataFrame:
-    short = short_rows(tables)
-    rows = matching_regex(on_dates(short, "stock_date", dates), "product_name", term)
-    return sum_by_date(rows, chosen_dates(short.sparkSession, short, "stock_date", dates), "stock_date", sums)
+def _sums(tables: Tables, dates: Dates, term: str | None, **sums: Column) -> DataFrame:
+    """Sums over the short rows whose product matches; a date whose short rows all fail to
+    match keeps its row with zeros."""
+    short = short_rows(tables, regex_found("product_name", term).alias("wanted"))
+    rows = on_dates(short, "stock_date", dates)
+    return sum_by_date(rows, "stock_date", {n: F.when(F.col("wanted"), v) for n, v in sums.items()}, dates)
 
 
-def _gap():
+def _gap() -> Column:
     return F.abs(F.col("quantity_available") - F.col("safety_stock"))
 
 

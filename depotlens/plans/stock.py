@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.functions.filters import Dates, chosen_dates, matching_like, named, on_dates
+from depotlens.functions.filters import Dates, matching_like, named, on_dates
 from depotlens.operators.date_sums import sum_by_date
 from depotlens.sources.reader import Tables
 
@@ -34,11 +34,21 @@ def stock_status(tables: Tables, dates: Dates = None, warehouses: Names = None,
 def stock_totals_by_date(tables: Tables, dates: Dates = None, warehouses: Names = None,
                          term: str | None = None) -> DataFrame:
     """(stock_date, total_available) over the rows of :func:`stock_status`; a chosen date
-    without rows has total 0."""
-    stock = tables["warehouse_stock"]
-    chosen = chosen_dates(stock.sparkSession, stock, "stock_date", dates)
-    status = stock_status(tables, dates, warehouses, term)
-    return sum_by_date(status, chosen, "stock_date", {"total_available": F.col("quantity_available")})
+    without such rows has total 0.
+
+    Outer joins keep the stock rows the filters exclude, with nothing to add, so the dates
+    do not have to be looked up in a second scan.
+    """
+    stock = on_dates(tables["warehouse_stock"], "stock_date", dates)
+    products = matching_like(tables["products"], "product_name", term)
+    places = named(tables["warehouses"], "warehouse_name", warehouses)
+    rows = (
+        stock.select("stock_date", "product_code", "warehouse_id", "quantity_available")
+        .join(products.select("product_code", F.lit(True).alias("has_product")), "product_code", "left")
+        .join(places.select("warehouse_id", F.lit(True).alias("has_place")), "warehouse_id", "left")
+    )
+    counted = F.when(F.col("has_product") & F.col("has_place"), F.col("quantity_available"))
+    return sum_by_date(rows, "stock_date", {"total_available": counted}, dates)
 
 
 def stock_trend(tables: Tables, dates: Dates = None, warehouses: Names = None,

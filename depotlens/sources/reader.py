@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,26 @@ from depotlens.sources.schemas import SPECS, TableSpec
 Tables = Mapping[str, DataFrame]
 
 
+class LazyTables(Mapping[str, DataFrame]):
+    """Tables that are opened when first asked for: a report touches two or three of them,
+    and opening one reads file footers."""
+
+    def __init__(self, openers: Mapping[str, Callable[[], DataFrame]]):
+        self._openers = dict(openers)
+        self._opened: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self._openers[name]()
+        return self._opened[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._openers)
+
+    def __len__(self) -> int:
+        return len(self._openers)
+
+
 def source_path(directory: str, table: str, fmt: str) -> str:
     """Where the snapshot of ``table`` is expected: a file or a directory of files."""
     return f"{directory.rstrip('/')}/{table}.{fmt}"
@@ -55,10 +75,13 @@ def empty_table(spark: SparkSession, spec: TableSpec) -> DataFrame:
 
 
 def read_tables(spark: SparkSession, directory: str, fmt: str = "parquet",
-                specs: Mapping[str, TableSpec] = SPECS) -> dict[str, DataFrame]:
+                specs: Mapping[str, TableSpec] = SPECS) -> LazyTables:
     """All declared tables under ``directory``; an absent one is empty."""
-    tables = {}
-    for name, spec in specs.items():
-        df = read_snapshot(spark, source_path(directory, name, fmt), spec, fmt)
-        tables[name] = empty_table(spark, spec) if df is None else df
-    return tables
+
+    def opener(spec: TableSpec) -> Callable[[], DataFrame]:
+        def open_table() -> DataFrame:
+            df = read_snapshot(spark, source_path(directory, spec.name, fmt), spec, fmt)
+            return empty_table(spark, spec) if df is None else df
+        return open_table
+
+    return LazyTables({name: opener(spec) for name, spec in specs.items()})

@@ -7,12 +7,14 @@ a declared surrogate id, because the star schema has no unique line number.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotlens.functions.status import COMPLETED_LATE, COMPLETED_ON_TIME
+from depotlens.sources.reader import LazyTables
 from depotlens.sources.schemas import SPECS, TableSpec
 
 IN_PROGRESS = "In progress"
@@ -45,112 +47,117 @@ STAR_ROUTES = {
 }
 
 
-def _progress(is_open, remainder):
-    return (
-        F.when(is_open, IN_PROGRESS)
-        .when(remainder <= 14, COMPLETED_ON_TIME)
-        .otherwise(COMPLETED_LATE)
-    )
-
-
-def star_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """All nine tables as lazy frames over ``directory``/*.parquet."""
-
-    def load(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
-
-    lineitem, orders = load("lineitem"), load("orders")
-    quantity = F.col("l_quantity").cast("bigint")
-    order_date = F.col("o_orderdate").cast("date")
-    delivery_id = F.col("l_orderkey") * 100000 + F.col("l_suppkey")
-
-    suppliers = load("supplier").select(
-        F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name"))
-
-    size = F.col("p_size")
-    products = load("part").select(
-        F.col("p_partkey").alias("product_code"),
-        F.col("p_name").alias("product_name"),
-        size.alias("safety_stock"),
-        size.alias("unit_height"),
-        size.alias("unit_width"),
-        size.alias("unit_depth"),
-        (size * F.lit(0.25)).cast("decimal(5,2)").alias("unit_volume"),
-    )
-
-    warehouses = load("nation").select(
-        F.col("n_nationkey").alias("warehouse_id"),
-        F.col("n_name").alias("warehouse_name"),
-        (F.col("n_nationkey") * 250).alias("capacity"),
-    )
-
-    # Month and warehouse are constant per (ship date, supplier): adding up on the raw keys
-    # first would not shrink the lines, so the only shuffle is the one on the stock key.
-    warehouse_stock = (
-        lineitem.join(load("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(
-            F.trunc(F.col("l_shipdate").cast("date"), "month").alias("stock_date"),
-            F.col("l_partkey").alias("product_code"),
-            F.col("s_nationkey").alias("warehouse_id"),
+def _progress(is_open: Column, age: Column) -> Column:
+    return F.when(is_open, IN_PROGRESS).when(age <= 14, COMPLETED_ON_TIME).otherwise(COMPLETED_LATE)
+
+
+def _finished(is_open: Column, age: Column) -> Column:
+    return F.when(~is_open, F.date_add(_order_date(), age.cast("int")))
+
+
+def _order_date() -> Column:
+    return F.col("o_orderdate").cast("date")
+
+
+def _quantity() -> Column:
+    return F.col("l_quantity").cast("bigint")
+
+
+def _delivery_id() -> Column:
+    return F.col("l_orderkey") * 100000 + F.col("l_suppkey")
+
+
+class StarSchema:
+    """The inventory tables over ``directory``/*.parquet, one method per table."""
+
+    def __init__(self, spark: SparkSession, directory: str):
+        root = directory.rstrip("/")
+        self._load = cache(lambda name: spark.read.parquet(f"{root}/{name}.parquet"))
+
+    def suppliers(self) -> DataFrame:
+        return self._load("supplier").select(
+            F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name"))
+
+    def products(self) -> DataFrame:
+        size = F.col("p_size")
+        return self._load("part").select(
+            F.col("p_partkey").alias("product_code"),
+            F.col("p_name").alias("product_name"),
+            size.alias("safety_stock"),
+            size.alias("unit_height"),
+            size.alias("unit_width"),
+            size.alias("unit_depth"),
+            (size * F.lit(0.25)).cast("decimal(5,2)").alias("unit_volume"),
         )
-        .agg(
-            F.sum(quantity).alias("quantity_on_hand"),
-            F.sum(F.when(F.col("l_linestatus") == "O", quantity).otherwise(F.lit(0))).alias("quantity_reserved"),
+
+    def warehouses(self) -> DataFrame:
+        return self._load("nation").select(
+            F.col("n_nationkey").alias("warehouse_id"),
+            F.col("n_name").alias("warehouse_name"),
+            (F.col("n_nationkey") * 250).alias("capacity"),
+        )
+
+    def warehouse_stock(self) -> DataFrame:
+        lines, places = self._load("lineitem"), self._load("supplier")
+        reserved = F.when(F.col("l_linestatus") == "O", _quantity()).otherwise(F.lit(0))
+        return (
+            lines.join(places, F.col("l_suppkey") == F.col("s_suppkey"))
+            .groupBy(
+                F.trunc(F.col("l_shipdate").cast("date"), "month").alias("stock_date"),
+                F.col("l_partkey").alias("product_code"),
+                F.col("s_nationkey").alias("warehouse_id"),
+            )
+            .agg(F.sum(_quantity()).alias("quantity_on_hand"), F.sum(reserved).alias("quantity_reserved"))
+            .withColumn("quantity_available", F.col("quantity_on_hand") - F.col("quantity_reserved"))
         )
-        .withColumn("quantity_available", F.col("quantity_on_hand") - F.col("quantity_reserved"))
-    )
-
-    customers = load("customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"))
-
-    order_age = F.col("o_orderkey") % 30
-    order_open = F.col("o_orderstatus") == "P"
-    inv_orders = orders.select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        order_date.alias("order_date"),
-        F.date_add(order_date, 14).alias("expected_shipping_date"),
-        F.when(order_open, F.lit(None)).otherwise(F.date_add(order_date, order_age.cast("int"))).alias("shipping_date"),
-        _progress(order_open, order_age).alias("shipping_status"),
-        F.col("o_orderpriority").alias("sales_channel"),
-    )
-
-    order_details = lineitem.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("product_code"),
-        quantity.alias("quantity"),
-    )
-
-    delivery_age = (F.col("l_orderkey") + F.col("l_suppkey")) % 30
-    delivery_open = F.col("l_orderkey") % 7 == 0
-    deliveries = (
-        lineitem.select("l_orderkey", "l_suppkey")
-        .distinct()
-        .join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(
-            delivery_id.alias("delivery_id"),
+
+    def customers(self) -> DataFrame:
+        return self._load("customer").select(
+            F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"))
+
+    def orders(self) -> DataFrame:
+        is_open = F.col("o_orderstatus") == "P"
+        age = F.col("o_orderkey") % 30
+        return self._load("orders").select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_custkey").alias("customer_id"),
+            _order_date().alias("order_date"),
+            F.date_add(_order_date(), 14).alias("expected_shipping_date"),
+            _finished(is_open, age).alias("shipping_date"),
+            _progress(is_open, age).alias("shipping_status"),
+            F.col("o_orderpriority").alias("sales_channel"),
+        )
+
+    def order_details(self) -> DataFrame:
+        return self._load("lineitem").select(
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("product_code"),
+            _quantity().alias("quantity"),
+        )
+
+    def deliveries(self) -> DataFrame:
+        is_open = F.col("l_orderkey") % 7 == 0
+        age = (F.col("l_orderkey") + F.col("l_suppkey")) % 30
+        pairs = self._load("lineitem").select("l_orderkey", "l_suppkey").distinct()
+        dated = self._load("orders").select("o_orderkey", "o_orderdate")
+        return pairs.join(dated, F.col("l_orderkey") == F.col("o_orderkey")).select(
+            _delivery_id().alias("delivery_id"),
             F.col("l_suppkey").alias("supplier_id"),
-            order_date.alias("order_date"),
-            F.date_add(order_date, 14).alias("expected_delivery_date"),
-            F.when(delivery_open, F.lit(None))
-            .otherwise(F.date_add(order_date, delivery_age.cast("int")))
-            .alias("delivery_date"),
-            _progress(delivery_open, delivery_age).alias("delivery_status"),
+            _order_date().alias("order_date"),
+            F.date_add(_order_date(), 14).alias("expected_delivery_date"),
+            _finished(is_open, age).alias("delivery_date"),
+            _progress(is_open, age).alias("delivery_status"),
+        )
+
+    def delivery_details(self) -> DataFrame:
+        return (
+            self._load("lineitem")
+            .groupBy(_delivery_id().alias("delivery_id"), F.col("l_partkey").alias("product_code"))
+            .agg(F.sum(_quantity()).alias("quantity"))
         )
-    )
-
-    delivery_details = lineitem.groupBy(
-        delivery_id.alias("delivery_id"), F.col("l_partkey").alias("product_code")
-    ).agg(F.sum(quantity).alias("quantity"))
-
-    return {
-        "suppliers": suppliers,
-        "products": products,
-        "warehouses": warehouses,
-        "warehouse_stock": warehouse_stock,
-        "customers": customers,
-        "orders": inv_orders,
-        "order_details": order_details,
-        "deliveries": deliveries,
-        "delivery_details": delivery_details,
-    }
+
+
+def star_tables(spark: SparkSession, directory: str) -> LazyTables:
+    """All nine tables as lazy frames."""
+    star = StarSchema(spark, directory)
+    return LazyTables({name: getattr(star, name) for name in STAR_SPECS})
