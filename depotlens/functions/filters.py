@@ -55,12 +55,12 @@ def latest(df: DataFrame, column: str) -> Column:
     return df.agg(F.max(column)).scalar()
 
 
-def on_dates(df: DataFrame, column: str, dates: Dates, choices: DataFrame | None = None) -> DataFrame:
-    """Rows of the chosen dates. Nothing chosen means the latest date in ``choices``."""
+def on_dates(df: DataFrame, column: str, dates: Dates) -> DataFrame:
+    """Rows of the chosen dates. Nothing chosen means the latest date of ``df``."""
     if dates == ALL_DATES:
         return df.where(F.col(column).isNotNull())
     if not dates:
-        return df.where(F.col(column) == latest(df if choices is None else choices, column))
+        return df.where(F.col(column) == latest(df, column))
     return df.where(F.col(column).isin(date_literals(dates)))
 
 

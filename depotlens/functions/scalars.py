@@ -21,10 +21,11 @@ def band(value: Column, thresholds: Sequence[float], colours: Sequence[str]) ->
     Whatever lies in no interval (the upper limit itself, values outside, NULL) gets the
     last colour.
     """
-    picked = F
-    for low, high, colour in zip(thresholds, thresholds[1:], colours):
-        picked = picked.when((value >= low) & (value < high), colour)
-    return picked.otherwise(colours[-1])
+    inside = [
+        F.when((value >= low) & (value < high), colour)
+        for low, high, colour in zip(thresholds, thresholds[1:], colours)
+    ]
+    return F.coalesce(*inside, F.lit(colours[-1]))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -85,3 +85,13 @@ def read_tables(spark: SparkSession, directory: str, fmt: str = "parquet",
         return open_table
 
     return LazyTables({name: opener(spec) for name, spec in specs.items()})
+
+
+def catalog_tables(spark: SparkSession, prefix: str = "", specs: Mapping[str, TableSpec] = SPECS) -> LazyTables:
+    """The declared tables as saved in the catalog under ``prefix`` + name, for example a
+    database name and a dot. Partitioning and bucketing of the saved tables are used."""
+
+    def opener(spec: TableSpec) -> Callable[[], DataFrame]:
+        return lambda: conform(spark.table(prefix + spec.name), spec)
+
+    return LazyTables({name: opener(spec) for name, spec in specs.items()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -24,7 +24,9 @@ class TableSpec:
     not_null: tuple[str, ...] = ()
     foreign_keys: tuple[ForeignKey, ...] = ()
     # columns the stored table is partitioned by, so that a date filter prunes directories
-    partition_by: tuple[str, ...] = field(default=())
+    partition_by: tuple[str, ...] = ()
+    # columns a catalog table is bucketed by, so that header and line tables join in place
+    bucket_by: tuple[str, ...] = ()
 
 
 _TYPES = {
@@ -88,6 +90,7 @@ SPECS: dict[str, TableSpec] = {
             key=("order_id",),
             foreign_keys=(ForeignKey("customer_id", "customers", "customer_id"),),
             partition_by=("order_date",),
+            bucket_by=("order_id",),
         ),
         TableSpec(
             "order_details",
@@ -97,6 +100,7 @@ SPECS: dict[str, TableSpec] = {
                 ForeignKey("order_id", "orders", "order_id"),
                 ForeignKey("product_code", "products", "product_code"),
             ),
+            bucket_by=("order_id",),
         ),
         TableSpec(
             "deliveries",
@@ -105,6 +109,7 @@ SPECS: dict[str, TableSpec] = {
             key=("delivery_id",),
             foreign_keys=(ForeignKey("supplier_id", "suppliers", "supplier_id"),),
             partition_by=("order_date",),
+            bucket_by=("delivery_id",),
         ),
         TableSpec(
             "delivery_details",
@@ -114,6 +119,7 @@ SPECS: dict[str, TableSpec] = {
                 ForeignKey("delivery_id", "deliveries", "delivery_id"),
                 ForeignKey("product_code", "products", "product_code"),
             ),
+            bucket_by=("delivery_id",),
         ),
     )
 }

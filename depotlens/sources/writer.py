@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from depotlens.sources.schemas import TableSpec
+
 # Names of the report exports.
 REPORT_NAMES = (
     "inventory_status",
@@ -40,6 +42,23 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
         df.write.mode("overwrite").parquet(path)
 
 
+def save_table(df: DataFrame, name: str, spec: TableSpec, buckets: int) -> None:
+    """Save a catalog table in the layout its joins want.
+
+    Header and line tables are bucketed alike on the key they share, so that their join
+    needs no shuffle; choose ``buckets`` so that one bucket of the larger table fits a
+    task. Tables without a bucket key are partitioned as in :func:`write_table`.
+    """
+    if spec.bucket_by:
+        shuffled = df.repartition(buckets, *spec.bucket_by)
+        shuffled.write.mode("overwrite").bucketBy(buckets, *spec.bucket_by).sortBy(*spec.bucket_by).saveAsTable(name)
+    elif spec.partition_by:
+        balanced = df.hint("rebalance", *spec.partition_by)
+        balanced.write.mode("overwrite").partitionBy(*spec.partition_by).saveAsTable(name)
+    else:
+        df.write.mode("overwrite").saveAsTable(name)
+
+
 def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Append rows to a stored table."""
     writer = df.write.mode("append")

@@ -276,6 +276,14 @@ _QUERIES: dict[str, str] = {
     "stock_trend": """
         SELECT s.stock_date, w.warehouse_name, CAST(SUM(s.quantity_available) AS BIGINT) AS quantity_available
         FROM warehouse_stock s JOIN warehouses w USING (warehouse_id) GROUP BY 1, 2""",
+    "stock_trend_filtered": """
+        SELECT s.stock_date, w.warehouse_name, CAST(SUM(s.quantity_available) AS BIGINT) AS quantity_available
+        FROM warehouse_stock s JOIN warehouses w USING (warehouse_id)
+        WHERE s.stock_date IN (DATE '1997-05-01', DATE '1999-11-01')
+          AND w.warehouse_name IN ('NATION_1', 'NATION_7')
+          AND EXISTS (SELECT 1 FROM status WHERE stock_date IN (DATE '1997-05-01', DATE '1999-11-01')
+                      AND warehouse_name IN ('NATION_1', 'NATION_7') AND product_name ILIKE '%plate%')
+        GROUP BY 1, 2""",
     "shortages": "SELECT * FROM short",
     "shortages_latest": f"SELECT * FROM short WHERE stock_date = {_LATEST_SHORT}",
     "shortages_regex": """
