@@ -66,6 +66,9 @@ def read_snapshot(spark: SparkSession, path: str, spec: TableSpec, fmt: str = "p
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
+        # a partitioned table without rows is a directory without files
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return empty_table(spark, spec)
         raise
     return conform(raw, spec)
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from depotlens.sources.reader import LazyTables, empty_table
 from depotlens.sources.schemas import SPECS
 
@@ -15,8 +18,10 @@ def make_tables(spark, **rows):
 
     def opener(name):
         spec = SPECS[name]
-        given = [tuple(row.get(c) for c in spec.schema.fieldNames()) for row in rows.get(name, [])]
-        return lambda: spark.createDataFrame(given, spec.schema) if given else empty_table(spark, spec)
+        given = [{c: row.get(c) for c in spec.schema.fieldNames()} for row in rows.get(name, [])]
+        if not given:
+            return lambda: empty_table(spark, spec)
+        return lambda: spark.createDataFrame(pa.Table.from_pylist(given, to_arrow_schema(spec.schema)), spec.schema)
 
     return LazyTables({name: opener(name) for name in SPECS})
 
