@@ -10,6 +10,7 @@ def spark():
         "spark.ui.enabled": "false",
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "8g",
+        "spark.sql.maxMetadataStringLength": "10000",
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
