@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depotlens.session import parallel_tasks
+
 CHUNK = 100_000
 
 
@@ -19,13 +21,12 @@ def expand_rows(df: DataFrame, count: str, number: str, order_by: Sequence[Colum
     explicit number of partitions matters: the chunks are small and adaptive execution
     would otherwise merge them back into one task.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.expr(f"({count} - 1) div {chunk}"))))
     order = [*order_by, F.col("_chunk")]
     first = F.col("_chunk") * chunk + 1
     last = F.least(F.col(count), (F.col("_chunk") + 1) * chunk)
     return (
-        chunks.repartitionByRange(partitions, *order)
+        chunks.repartitionByRange(parallel_tasks(df.sparkSession), *order)
         .sortWithinPartitions(*order)
         .withColumn(number, F.explode(F.sequence(first, last)))
         .drop("_chunk")

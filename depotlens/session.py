@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution does the size-checked work of this library: it turns a join into a
 # broadcast join only when the measured side is small, splits skewed join partitions
-# otherwise, and sizes shuffle partitions from measured bytes.
+# otherwise, and merges small shuffle partitions by measured bytes.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -15,19 +15,43 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+BYTES_PER_PARTITION = 128 * 1024 * 1024
+MAX_PARTITIONS = 100_000
 
-def build_session(app_name: str = "depotlens", master: str | None = None,
-                  conf: dict[str, str] | None = None) -> SparkSession:
-    """Get or create a session; ``conf`` overrides the defaults above."""
+
+def partitions_for(input_bytes: int) -> int:
+    """Shuffle partitions to start with so that one partition fits in a task's memory even
+    if everything that is read gets shuffled."""
+    return min(MAX_PARTITIONS, max(1, -(-input_bytes // BYTES_PER_PARTITION)))
+
+
+def parallel_tasks(spark: SparkSession) -> int:
+    """Tasks a wide stage should have in this session."""
+    return int(spark.conf.get(INITIAL_PARTITIONS, None) or spark.conf.get(SHUFFLE_PARTITIONS))
+
+
+def build_session(app_name: str = "depotlens", master: str | None = None, conf: dict[str, str] | None = None,
+                  input_bytes: int | None = None) -> SparkSession:
+    """Get or create a session; ``conf`` overrides the defaults above.
+
+    Adaptive execution merges shuffle partitions but never adds any, so large inputs need
+    a large number to start with: give their size as ``input_bytes``.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in (conf or {}).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    defaults = dict(DEFAULTS)
+    if input_bytes is not None:
+        at_least = int(spark.conf.get(SHUFFLE_PARTITIONS))
+        defaults[INITIAL_PARTITIONS] = str(max(at_least, partitions_for(input_bytes)))
     # submitted properties are visible on the context: leave those alone
     submitted = dict(spark.sparkContext.getConf().getAll())
-    for key, value in DEFAULTS.items():
+    for key, value in defaults.items():
         if key not in submitted and key not in (conf or {}):
             spark.conf.set(key, value)
     return spark

@@ -27,6 +27,13 @@ def table_catalog(spark: SparkSession, pattern: str = "*") -> DataFrame:
     return spark.sql(f"SHOW TABLES LIKE '{pattern}'").select(F.col("tableName").alias("table_name"))
 
 
+def query(spark: SparkSession, tables: Tables, sql: str, args: Mapping[str, object] | None = None) -> DataFrame:
+    """Run SQL over the tables. ``{name}`` stands for a table and ``:name`` for a bound
+    value, so that no value is ever pasted into the text."""
+    used = {name: tables[name] for name in tables if f"{{{name}}}" in sql}
+    return spark.sql(sql, dict(args or {}), **used)
+
+
 def row_counts(tables: Tables, prefix: str = "") -> DataFrame:
     """One row per table with its number of rows."""
     counts = [df.select(F.lit(prefix + name).alias("table_name")).groupBy("table_name").agg(

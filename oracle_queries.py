@@ -322,6 +322,7 @@ _QUERIES: dict[str, str] = {
         SELECT * FROM {_DEDUPED} t WHERE order_id IN (SELECT order_id FROM sync_source)
         UNION ALL
         SELECT * FROM sync_source WHERE order_id NOT IN (SELECT order_id FROM sync_target)""",
+    "dedup_first": f"SELECT * FROM {_DEDUPED} t",
     "snapshot_first_load": """
         SELECT * FROM sync_target
         UNION ALL
@@ -336,6 +337,11 @@ _QUERIES: dict[str, str] = {
     "table_catalog": "\nUNION ALL\n".join(
         f"SELECT 'inv_{'orders' if t == 'inv_orders' else t}' AS table_name, COUNT(*) AS row_count FROM {t}"
         for t in _TABLES),
+    "bound_parameter_sql": """
+        SELECT s.stock_date, w.warehouse_name, COUNT(*) AS row_count,
+               CAST(SUM(s.quantity_on_hand) AS BIGINT) AS quantity_on_hand
+        FROM warehouse_stock s JOIN warehouses w USING (warehouse_id)
+        WHERE w.warehouse_name IN ('NATION_4', 'NATION_5') GROUP BY 1, 2""",
     "browse_table": "SELECT * FROM inv_orders",
 }
 

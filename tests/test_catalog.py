@@ -15,6 +15,12 @@ def test_catalog_lists_registered_tables(spark, star):
     assert {r[0] for r in rows(catalog.table_catalog(spark, "listed_*"))} == {"listed_" + n for n in SPECS}
 
 
+def test_sql_with_bound_values(spark, star):
+    df = catalog.query(spark, star, "SELECT COUNT(*) FROM {suppliers} WHERE supplier_name <> :name",
+                       {"name": "' OR 1=1 --"})
+    assert rows(df) == [(star["suppliers"].count(),)]
+
+
 def test_browse(star):
     assert catalog.browse_table(star, "products").count() == star["products"].count()
     assert catalog.browse_table(star, "products", limit=3).count() == 3
