@@ -30,11 +30,10 @@ def with_running_total(df: DataFrame, order_by: Sequence[Column], weight: Column
         .agg(F.sort_array(F.collect_list("key")))
         .scalar()
     )
-    ranged = (
-        df.withColumn("_bounds", bounds)
-        .withColumn("_range", F.size(F.filter("_bounds", lambda bound: bound < key)))
-        .drop("_bounds")
-    )
+    # never NULL, and declared so: otherwise the join below adds a NULL filter that searches
+    # the bounds a second time
+    bounds_below = F.size(F.filter("_bounds", lambda bound: bound < key))
+    ranged = df.withColumn("_bounds", bounds).withColumn("_range", F.coalesce(bounds_below, F.lit(0))).drop("_bounds")
 
     # at most ``buckets`` rows from here on, whatever the size of ``df``
     sums = ranged.groupBy("_range").agg(F.sum(weight).alias("_sum"))

@@ -40,7 +40,7 @@ def snapshot_sync(target: DataFrame, source: DataFrame, key: Sequence[str],
     """The target after synchronising it with the source."""
     keys = list(key)
     survivors = keep_first(target, keys, order_by).join(source.select(*keys).distinct(), keys, "left_semi")
-    return survivors.unionByName(missing_rows(target, source, keys))
+    return survivors.select(*target.columns).unionByName(missing_rows(target, source, keys))
 
 
 def missing_rows(target: DataFrame, source: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depotlens.functions.scalars import fixed_text
 from depotlens.sources.reader import Tables
 from depotlens.sources.schemas import SPECS
 
 # Fixed value: how modification times are shown.
 MODIFIED_FORMAT = "dd-MM-yyyy HH:mm:ss"
 BYTES_PER_MB = 1024 * 1024
+INVENTORY_SCHEMA = "table_name STRING, size_mb DOUBLE, modified STRING"
 
 
 def register_views(tables: Tables, prefix: str = "") -> None:
@@ -22,9 +25,10 @@ def register_views(tables: Tables, prefix: str = "") -> None:
         df.createOrReplaceTempView(prefix + name)
 
 
-def table_catalog(spark: SparkSession, pattern: str = "*") -> DataFrame:
-    """Names of the tables in the current catalog."""
-    return spark.sql(f"SHOW TABLES LIKE '{pattern}'").select(F.col("tableName").alias("table_name"))
+def table_catalog(spark: SparkSession, prefix: str = "") -> DataFrame:
+    """Names of the tables in the current catalog that begin with ``prefix``."""
+    listed = spark.sql("SHOW TABLES").select(F.col("tableName").alias("table_name"))
+    return listed.where(F.col("table_name").startswith(prefix))
 
 
 def query(spark: SparkSession, tables: Tables, sql: str, args: Mapping[str, object] | None = None) -> DataFrame:
@@ -36,8 +40,10 @@ def query(spark: SparkSession, tables: Tables, sql: str, args: Mapping[str, obje
 
 def row_counts(tables: Tables, prefix: str = "") -> DataFrame:
     """One row per table with its number of rows."""
-    counts = [df.select(F.lit(prefix + name).alias("table_name")).groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("row_count")) for name, df in tables.items()]
+    counts = [
+        df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(prefix + name).alias("table_name"), "row_count")
+        for name, df in tables.items()
+    ]
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -57,12 +63,12 @@ def source_inventory(spark: SparkSession, directory: str, fmt: str = "parquet",
     of part files, so lengths are added up per source. File contents are never read.
     """
     routes = routes or {name: name for name in SPECS}
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(directory)
-        .select("path", "length", "modificationTime")
-    )
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], INVENTORY_SCHEMA)
+        raise
     # "<stem>.<fmt>" is either the file itself or one of the directories above a part file
     stem = F.regexp_extract("path", rf"/([^/]+)\.{fmt}(?:/.*)?$", 1)
     table_of = F.create_map(*[F.lit(text) for pair in routes.items() for text in pair])
@@ -75,3 +81,8 @@ def source_inventory(spark: SparkSession, directory: str, fmt: str = "parquet",
             F.date_format(F.max("modificationTime"), MODIFIED_FORMAT).alias("modified"),
         )
     )
+
+
+def source_inventory_text(inventory: DataFrame) -> DataFrame:
+    """The listing as shown on screen: sizes in MB with two decimals."""
+    return inventory.withColumn("size_mb", F.concat(fixed_text(F.col("size_mb")), F.lit(" MB")))

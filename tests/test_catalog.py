@@ -7,12 +7,14 @@ from depotlens.plans.party import SUPPLIER
 from depotlens.sources import catalog, writer
 from depotlens.sources.reader import catalog_tables
 from depotlens.sources.schemas import SPECS
-from tests.helpers import rows, sales_tables
+from tests.helpers import make_tables, product, rows, sales_tables
 
 
 def test_catalog_lists_registered_tables(spark, star):
     catalog.register_views(star, "listed_")
-    assert {r[0] for r in rows(catalog.table_catalog(spark, "listed_*"))} == {"listed_" + n for n in SPECS}
+    assert {r[0] for r in rows(catalog.table_catalog(spark, "listed_"))} == {"listed_" + n for n in SPECS}
+    counts = dict(rows(catalog.row_counts(make_tables(spark, products=[product(1, "p")]), "x_")))
+    assert counts == {"x_" + n: int(n == "products") for n in SPECS}
 
 
 def test_sql_with_bound_values(spark, star):
@@ -37,6 +39,10 @@ def test_source_inventory_adds_up_part_files(spark, tmp_path):
     (tmp_path / "customers.parquet").write_bytes(b"x")
     got = {r[0]: r[1:] for r in rows(catalog.source_inventory(spark, str(tmp_path), "csv"))}
     assert {name: size for name, (size, _) in got.items()} == {"orders": 1.0, "products": 0.5}
+    shown = catalog.source_inventory_text(catalog.source_inventory(spark, str(tmp_path), "csv"))
+    assert {r[1] for r in rows(shown)} == {"1.00 MB", "0.50 MB"}
+    absent = catalog.source_inventory(spark, str(tmp_path / "absent"), "csv")
+    assert rows(absent) == [] and absent.columns == shown.columns
     assert all(re.fullmatch(r"\d\d-\d\d-\d{4} \d\d:\d\d:\d\d", modified) for _, modified in got.values())
 
 

@@ -94,6 +94,8 @@ def test_ranking_reads_the_lines_once(stored, job):
     plan = final_plan(job(stored))
     assert len(re.findall(r"FileScan parquet [^\n]*order_details", plan)) == 1
     assert "ReusedExchange" in plan
+    # the bounds are searched once for the range sums and once for the ranking
+    assert len(re.findall(r"Filter [^\n]*lambdafunction", plan)) == 0
 
 
 def test_sums_by_date_read_the_stock_once(stored):
