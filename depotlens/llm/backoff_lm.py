@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depotlens.llm.common import checkpointed
@@ -93,15 +94,16 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
     grams = grams.select("doc_id", F.xxhash64("w1", "w2").alias("gram"), "n", "c1", "c2",
                          (F.col("w1") == 0).alias("begins"), is_hot.alias("is_hot"))
 
-    def per_document(df: DataFrame) -> DataFrame:
-        counted = df.join(df.groupBy("gram").agg(F.sum("n").alias("c12")), "gram")
+    def per_document(counted: DataFrame) -> DataFrame:
         word = F.coalesce(F.log("c2") - math.log(total), F.lit(unknown))
         score = F.when(F.col("begins"), word).when(
             F.col("c12") >= min_count, F.log("c12") - F.log("c1")).otherwise(math.log(alpha) + word)
         return counted.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * score).alias("s"))
 
     cold, hot = (grams.where(c).drop("is_hot") for c in (~F.col("is_hot"), F.col("is_hot")))
-    sums = per_document(cold.repartition("gram")).unionByName(per_document(hot)).groupBy("doc_id").agg(
+    cold = cold.withColumn("c12", F.sum("n").over(W.partitionBy("gram")))
+    hot = hot.join(hot.groupBy("gram").agg(F.sum("n").alias("c12")), "gram")
+    sums = per_document(cold).unionByName(per_document(hot)).groupBy("doc_id").agg(
         F.sum("n").alias("n_words"), F.sum("s").alias("log_score"))
     ids = docs.select(F.col("doc_id").cast("bigint")).distinct()
     s = sums.withColumnRenamed("doc_id", "_doc")
