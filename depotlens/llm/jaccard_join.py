@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depotlens.llm.common import checkpointed
@@ -30,6 +31,7 @@ SHINGLE_WORDS = 4
 PERCENT = 85
 HOT = 24
 SPARE = 8
+SAMPLE_NODES = 8000
 COSTS = (64, 512)  # estimated candidates from which a second and a third shared token is asked for
 BROADCAST_IDS = 2_000_000  # ids, 16 MB
 
@@ -58,6 +60,10 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
+def _key(tokens: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Tokens of a set of ``n`` of which a linked set must share one."""
     return n - -(-percent * n // 100) + 1
@@ -75,8 +81,7 @@ def prefixes(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT)
         for rows, sets in shingle_sets(batches, size):
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                          pa.binary()),
+                 pa.array([_key(s) for s in sets], pa.binary()),
                  _lists([s[:stored_length(len(s), percent)] if len(s) else s for s in sets])],
                 ["doc_id", "n_shingles", "set_key", "tokens"])
 
@@ -84,18 +89,22 @@ def prefixes(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT)
         read, "doc_id bigint, n_shingles bigint, set_key binary, tokens array<bigint>")
 
 
+def _sized_broadcast(ids: DataFrame) -> DataFrame:
+    """``ids``, stored; marked for broadcast if it has at most ``BROADCAST_IDS`` rows, else joined by shuffle."""
+    stored = checkpointed(ids)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_IDS else stored
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, tokens) of the wanted documents, all tokens; one set per doc_id."""
-    count = wanted.count()
-    if count <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    chosen = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, "doc_id", "left_semi")
+    """(doc_id, tokens) of the documents in ``wanted`` (doc_id, set_key), all tokens; one set per doc_id."""
+    chosen = docs.select(F.col("doc_id").cast("bigint"), "text").join(_sized_broadcast(wanted), "doc_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in shingle_sets(batches, size):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _lists(sets)], ["doc_id", "tokens"])
+            own = pa.array([_key(s) == k for s, k in zip(sets, rows.column("set_key").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), _lists(sets)], ["doc_id", "tokens"]).filter(own)
 
-    return chosen.mapInArrow(read, "doc_id bigint, tokens array<bigint>")
+    return chosen.mapInArrow(read, "doc_id bigint, tokens array<bigint>").dropDuplicates(["doc_id"])
 
 
 def _most_extra(n: str, percent: int) -> str:
@@ -105,12 +114,23 @@ def _most_extra(n: str, percent: int) -> str:
 
 
 def _profiles(nodes: DataFrame, percent: int, hot: int) -> DataFrame:
-    """Per node with any shared token: its shared tokens, k, l, m, and whether it is open."""
-    tokens = nodes.select("doc", "n", F.posexplode("tokens").alias("pos", "token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = tokens.join(counts, "token")
-    entries = shared.groupBy("doc", "n").agg(F.collect_list(
-        F.struct("pos", "token", (F.col("df") > hot).alias("hot"), "df")).alias("e"))
+    """Per node that may have a link: its shared tokens, l, m, and whether it is open.
+
+    A token is hot if more than ``hot`` nodes of a bounded sample have it in their prefixes, or more than ``hot``
+    of all nodes. Any choice of hot tokens gives the same links; the sample, whose frequent tokens are as bounded
+    as itself, keeps tokens that a large share of all nodes have out of the count.
+    """
+    sample = nodes.select("doc").orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_NODES)
+    frequent = nodes.join(F.broadcast(sample), "doc", "left_semi").select(F.explode("tokens").alias("token")).groupBy(
+        "token").agg(F.count(F.lit(1)).alias("in_sample")).where(F.col("in_sample") > hot)
+    tokens = nodes.select("doc", F.posexplode("tokens").alias("pos", "token")).join(F.broadcast(frequent), "token", "left")
+    df = F.count(F.lit(1)).over(W.partitionBy("token"))
+    counted = tokens.where("in_sample is null").select("doc", "pos", "token").withColumn("df", df).where("df > 1").select(
+        "doc", F.struct("pos", "token", (F.col("df") > hot).alias("hot"), "df").alias("e"))
+    known = tokens.where("in_sample is not null").select("doc", F.struct(
+        "pos", "token", F.lit(True).alias("hot"), F.col("in_sample").alias("df")).alias("e"))
+    entries = counted.unionByName(known).groupBy("doc").agg(F.collect_list("e").alias("e")).join(
+        nodes.select("doc", "n"), "doc")
     base = F.expr(f"n - ({percent} * n + 99) div 100")  # the prefix for l is base + l
     partner = _most_extra(f"(({percent} * n + 99) div 100)", percent)  # what the smallest partner has stored
     with_cost = entries.withColumns({
@@ -126,13 +146,14 @@ def _profiles(nodes: DataFrame, percent: int, hot: int) -> DataFrame:
 
     with_k = with_cost.withColumns({"k1": k_for("1"), "km": k_for("m")})
     fits = F.col("km") + F.col("m") <= F.col("least_most")
-    done = with_k.withColumns({
+    # every token that a linked document shares is shared, so with too few of them there is no link
+    done = with_k.where("size(e) >= least_most").withColumns({
         "open": F.col("k1") + 1 > F.col("least_most"),
         "m": F.when(fits, F.col("m")).otherwise(F.lit(1)),
         "k": F.when(fits, F.col("km")).otherwise(F.col("k1")),
     }).withColumn("l", F.when(F.col("open"), F.col("most")).otherwise(F.col("k") + F.col("m")))
     return done.select(
-        "doc", "n", "open", "l", "m", "base",
+        "doc", "n", "open", "l", "m", "base", "most",
         F.expr("transform(filter(e, x -> not x.hot and x.pos < base + l), x -> x.token)").alias("cold"),
         F.expr("transform(filter(e, x -> open and x.hot and x.pos <= base), x -> x.token)").alias("hot"),
         F.expr("transform(e, x -> x.token)").alias("shared"),
@@ -170,21 +191,65 @@ def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_sized(percent)).select("x", "y").distinct()
 
 
-def _rest_pairs(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open nodes with a common hot token in different components, if their stored tokens allow a link."""
-    def side(s: str) -> DataFrame:
-        return members.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "component")])
+def _shared_tokens(sets: DataFrame, hot: int) -> DataFrame:
+    """(doc, n, token, is_hot) of all tokens that two candidates or more have in their whole sets."""
+    tokens = sets.select(F.col("doc_id").alias("doc"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return tokens.join(counts.select("token", (F.col("df") > hot).alias("is_hot")), "token").select(
+        "doc", "n", "token", "is_hot")
+
+
+def _bounds(shared: DataFrame, percent: int) -> DataFrame:
+    """(doc, n, most_n, most_hot) of the candidates that may still have a link, judged by their whole sets.
+
+    The common tokens of a pair are among those that each of the two shares with any candidate. With s of these,
+    a document of n tokens can only link with documents of at most s * (100 + percent) / percent - n tokens. Pairs
+    without a common token that is not hot have the same bound with the hot tokens alone.
+    """
+    counts = shared.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("s"), F.sum(F.col("is_hot").cast("int")).alias("h"))
+    return counts.selectExpr("doc", "n", f"s * {100 + percent} div {percent} - n as most_n",
+                             f"h * {100 + percent} div {percent} - n as most_hot").where(
+        f"100 * most_n >= {percent} * n")
+
 
-    mixed = members.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    members = members.join(mixed.select("token"), "token", "left_semi")
-    pairs = side("x").join(side("y"), "token").where("x_component < y_component").where(_sized(percent)).select(
-        F.col("x_doc").alias("x"), F.col("y_doc").alias("y")).distinct()
-    stored = profiles.select("doc", "l", "shared")
-    x = stored.select(F.col("doc").alias("x"), F.col("l").alias("x_l"), F.col("shared").alias("x_shared"))
-    y = stored.select(F.col("doc").alias("y"), F.col("l").alias("y_l"), F.col("shared").alias("y_shared"))
-    near = pairs.join(x, "x").join(y, "y").where(
-        F.size(F.array_intersect("x_shared", "y_shared")) >= F.least("x_l", "y_l"))
-    return near.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+def _allowed(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """The pairs whose sizes suit the bounds of both."""
+    x = bounds.select(F.col("doc").alias("x"), F.col("n").alias("x_n"), F.col("most_n").alias("x_most"))
+    y = bounds.select(F.col("doc").alias("y"), F.col("n").alias("y_n"), F.col("most_n").alias("y_most"))
+    return pairs.join(x, "x").join(y, "y").where("y_n <= x_most and x_n <= y_most").select(*pairs.columns)
+
+
+def _rest_pairs(members: DataFrame, bounds: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open nodes in different components that may link.
+
+    Either they have one of the ``rare`` (doc, token), shared but not hot, in common, or the bounds by hot tokens
+    allow a link under a common hot token. A node whose bound is below all sizes under a token has no
+    partner there and leaves before the join.
+    """
+    inside = members.select("doc", "component").distinct().join(bounds, "doc")
+
+    def pairs(rows: DataFrame, most: str) -> DataFrame:
+        def side(s: str) -> DataFrame:
+            return rows.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", most, "component")])
+
+        return side("x").join(side("y"), "token").where(
+            f"x_component < y_component and y_n <= x_{most} and x_n <= y_{most}").where(_sized(percent)).select(
+            F.least("x_doc", "y_doc").alias("x"), F.greatest("x_doc", "y_doc").alias("y"))
+
+    rows = members.select("token", "doc").join(inside, "doc")
+    sizes = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"),
+                                      F.min("n").alias("least_n"), F.max("most_hot").alias("most"))
+    left = rows.join(sizes, "token").where("a <> b and most_hot >= least_n and n <= most")
+    return pairs(left, "most_hot").unionByName(pairs(rare.join(inside, "doc"), "most_n")).distinct()
+
+
+def _promising(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs that share as many stored tokens as two linked sets must: the longest prefixes that both have stored."""
+    stored = profiles.select("doc", "most", "shared")
+    x = stored.select(F.col("doc").alias("x"), F.col("most").alias("x_most"), F.col("shared").alias("x_shared"))
+    y = stored.select(F.col("doc").alias("y"), F.col("most").alias("y_most"), F.col("shared").alias("y_shared"))
+    enough = F.size(F.array_intersect("x_shared", "y_shared")) >= F.least("x_most", "y_most")
+    return pairs.join(x, "x").join(y, "y").where(enough).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,20 +266,37 @@ def _with_component(df: DataFrame, column: str, labels: DataFrame, name: str) ->
     return df.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
+def _nodes(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc, n, tokens): the first document of each group of equal sets.
+
+    The others, a minority as a rule, are taken out by their ids; ids with several rows are looked at apart.
+    """
+    rows = keyed.select("doc_id", "set_key")
+    several = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    leading = groups.select(F.col("doc").alias("doc_id"), F.col("set_key").alias("own"))
+    follow = rows.join(leading, "doc_id", "left").where("own is null or own <> set_key").select("doc_id")
+    apart = _sized_broadcast(follow.unionByName(several).distinct())
+    once = keyed.join(apart, "doc_id", "left_anti")
+    repeated = keyed.join(_sized_broadcast(several), "doc_id", "left_semi").join(
+        leading, "doc_id").where("own = set_key").drop("own").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "tokens")
+
+
 def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
     ``component_id`` is the smallest doc_id reachable over links, the document included; documents
-    without words link with nothing. Rows that repeat a doc_id are rows of their own with equal results if their texts
-    are equal; a NULL doc_id keeps a NULL component. Other columns are not read.
+    without words link with nothing. Rows that repeat a doc_id and its text have equal results; of several texts under
+    one doc_id that is the first of their groups, one stands for it. A NULL doc_id keeps a NULL component. Other
+    columns are not read.
     """
     read = checkpointed(prefixes(docs, size, percent))
-    groups = read.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(
-        F.min("doc_id").alias("doc"))
-    nodes = read.join(groups, (read["doc_id"] == groups["doc"]) & (read["set_key"] == groups["set_key"])).select(
-        "doc", F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["doc"])
+    keyed = read.where("set_key is not null and doc_id is not null")
+    firsts = keyed.groupBy("set_key").agg(F.min("doc_id").alias("doc"))
+    groups = checkpointed(firsts.groupBy("doc").agg(F.min("set_key").alias("set_key")))
+    nodes = _nodes(keyed, groups)
     profiles = checkpointed(_profiles(nodes, percent, hot))
-    cold = checkpointed(_cold_pairs(profiles, percent))
+    cold = checkpointed(_promising(_cold_pairs(profiles, percent), profiles))
     members = _hot_members(profiles)
 
     # the partner with the most common tokens for every node, and the centres of the hot tokens
@@ -222,24 +304,26 @@ def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, h
         cold.select(F.col("y").alias("a"), F.col("x").alias("b"), "matches"))
     best = ends.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b")).select(
         F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    first = checkpointed(best.unionByName(_star_pairs(members, percent)).distinct())
+    first = checkpointed(best.unionByName(_promising(_star_pairs(members, percent), profiles)).distinct())
 
-    ids = cold.select(F.col("x").alias("doc_id")).unionByName(cold.select(F.col("y").alias("doc_id"))).unionByName(
-        profiles.where("open").select(F.col("doc").alias("doc_id"))).distinct()
-    sets = checkpointed(whole_sets(docs, checkpointed(ids), size).dropDuplicates(["doc_id"]))
-    links = checkpointed(_verified(first, sets, percent))
-    labels = components(links, "x", "y")
+    open_ids = profiles.where("open").select("doc")
+    ids = cold.select(F.explode(F.array("x", "y")).alias("doc")).unionByName(open_ids).distinct()
+    wanted = ids.join(groups, "doc").select(F.col("doc").alias("doc_id"), "set_key")
+    sets = checkpointed(whole_sets(docs, wanted, size))
+    shared = _shared_tokens(sets, hot)
+    bounds = checkpointed(_bounds(shared, percent))
+    labels = components(_verified(_allowed(first, bounds), sets, percent), "x", "y")
 
     apart = _with_component(_with_component(cold, "x", labels, "cx"), "y", labels, "cy").where("cx <> cy")
-    rest = apart.select("x", "y").unionByName(
-        _rest_pairs(_with_component(members, "doc", labels, "component"), profiles, percent)).join(
+    rest = _allowed(apart.select("x", "y"), bounds).unionByName(_promising(_rest_pairs(
+        _with_component(members, "doc", labels, "component"), bounds, shared.where("not is_hot").select("doc", "token"), percent), profiles)).join(
         first, ["x", "y"], "left_anti").distinct()
     more = checkpointed(_verified(rest, sets, percent))
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more),
                             "x", "y")
 
-    node_of = _with_component(groups, "doc", labels, "component_id").select("set_key", "component_id")
+    node_of = _with_component(firsts, "doc", labels, "component_id").select("set_key", "component_id")
     rows = read.select("doc_id", "n_shingles", "set_key")
     return rows.join(node_of, "set_key", "left").select(
         "doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")),
