@@ -88,6 +88,7 @@ def labelled_samples(docs: DataFrame, text: str = "text", key: str = "doc_id", s
     one task that picks them. Strings beyond ``sample_chars`` characters are left out.
     """
     chosen = docs.select(F.xxhash64(key).alias("_h")).orderBy("_h").limit(sample_rows).distinct()
+    chosen = F.broadcast(chosen)  # as bounded as the sample
     rows = docs.select(F.col(text).alias("_text"), F.xxhash64(key).alias("_h")).join(chosen, "_h", "left_semi")
     values = [F.regexp_extract_all("_text", F.lit(p), F.lit(g)) for p, g, _ in BASE_KINDS.values()]
     least = [n for *_, n in BASE_KINDS.values()]
