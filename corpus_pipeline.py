@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from depotlens.llm import jaccard_join, knn_quality, pattern_packing, pfair_mix, secret_scan
-from depotlens.llm.common import shared_folder, table
+from depotlens.llm.common import shared_folder, sized_broadcast, table
 
 
 def quality(spark, docs, sf_dir):
@@ -35,9 +35,11 @@ def secrets(spark, docs, sf_dir):
 
 
 def mixing(spark, docs, sf_dir):
-    """Put the documents into the order of the mix; nothing is dropped."""
-    mixed = pfair_mix.mixed(docs)
-    return mixed.orderBy("position", "doc_id").select(*docs.columns)
+    """Put the documents into the order of the mix; nothing is dropped. Only ids and sources are scheduled."""
+    placed = pfair_mix.mixed(docs.select("doc_id", "source")).groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min("position").alias("_position"))
+    ordered = docs.join(sized_broadcast(placed), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    return ordered.orderBy("_position", "doc_id").select(*[docs[c] for c in docs.columns])
 
 
 def packing(spark, docs, sf_dir):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from depotlens.session import parallel_tasks
 
+BROADCAST_ROWS = 2_000_000  # rows of a number or two, 32 MB
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data directory."""
@@ -34,6 +35,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sized_broadcast(keys: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys``, a narrow table, stored; marked for broadcast if it has at most ``most_rows`` rows, else joined by shuffle."""
+    stored = checkpointed(keys)
+    return F.broadcast(stored) if stored.count() <= most_rows else stored
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

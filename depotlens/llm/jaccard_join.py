@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from depotlens.llm.common import checkpointed
+from depotlens.llm.common import checkpointed, sized_broadcast
 from depotlens.llm.components import components
 from depotlens.llm.words import windows, words_of
 
@@ -33,7 +33,6 @@ HOT = 24
 SPARE = 8
 SAMPLE_NODES = 8000
 COSTS = (64, 512)  # estimated candidates from which a second and a third shared token is asked for
-BROADCAST_IDS = 2_000_000  # ids, 16 MB
 
 
 def shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -89,15 +88,9 @@ def prefixes(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT)
         read, "doc_id bigint, n_shingles bigint, set_key binary, tokens array<bigint>")
 
 
-def _sized_broadcast(ids: DataFrame) -> DataFrame:
-    """``ids``, stored; marked for broadcast if it has at most ``BROADCAST_IDS`` rows, else joined by shuffle."""
-    stored = checkpointed(ids)
-    return F.broadcast(stored) if stored.count() <= BROADCAST_IDS else stored
-
-
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(doc_id, tokens) of the documents in ``wanted`` (doc_id, set_key), all tokens; one set per doc_id."""
-    chosen = docs.select(F.col("doc_id").cast("bigint"), "text").join(_sized_broadcast(wanted), "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("bigint"), "text").join(sized_broadcast(wanted), "doc_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, sets in shingle_sets(batches, size):
@@ -275,9 +268,9 @@ def _nodes(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     several = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     leading = groups.select(F.col("doc").alias("doc_id"), F.col("set_key").alias("own"))
     follow = rows.join(leading, "doc_id", "left").where("own is null or own <> set_key").select("doc_id")
-    apart = _sized_broadcast(follow.unionByName(several).distinct())
+    apart = sized_broadcast(follow.unionByName(several).distinct())
     once = keyed.join(apart, "doc_id", "left_anti")
-    repeated = keyed.join(_sized_broadcast(several), "doc_id", "left_semi").join(
+    repeated = keyed.join(sized_broadcast(several), "doc_id", "left_semi").join(
         leading, "doc_id").where("own = set_key").drop("own").dropDuplicates(["doc_id"])
     return once.unionByName(repeated).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "tokens")
 
@@ -333,4 +326,4 @@ def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, h
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The documents whose doc_id is their component's id: one of each group, with their own columns."""
     first = linked(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    return docs.join(sized_broadcast(first), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
