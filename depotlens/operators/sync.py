@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,16 +78,28 @@ def sync_summary(target: DataFrame, source: DataFrame | None, key: Sequence[str]
     ).select(F.lit(table).alias("table"), "duplicates_removed", "added", "deleted", F.lit(SYNCED).alias("status"))
 
 
+def _require_complete(spark: SparkSession, directory: str) -> None:
+    try:
+        spark.read.schema(SUMMARY_SCHEMA).parquet(f"{directory.rstrip('/')}/sync_summary.parquet")
+    except AnalysisException as error:
+        raise ValueError(f"{directory} is not a complete version: it has no summary") from error
+
+
 def sync_all(spark: SparkSession, source_dir: str, current_dir: str, next_dir: str, fmt: str = "csv",
-             specs: Mapping[str, TableSpec] = SPECS) -> DataFrame:
+             specs: Mapping[str, TableSpec] = SPECS, first_load: bool = False) -> DataFrame:
     """Synchronise every routed table from ``current_dir`` into the new version ``next_dir``.
 
     The current version is only read, so a run that dies half-way can simply be repeated.
     A table without a source is carried over unchanged and reported as skipped. Returns
     the stored summary, which is written last and so marks a complete version.
+
+    A current version without its summary is missing or unfinished and refused, unless ``first_load``
+    says that there is none yet.
     """
     if current_dir.rstrip("/") == next_dir.rstrip("/"):
         raise ValueError("the new version needs its own directory")
+    if not first_load:
+        _require_complete(spark, current_dir)
     summaries = []
     for name, spec in specs.items():
         stored = read_snapshot(spark, source_path(current_dir, name, "parquet"), spec)

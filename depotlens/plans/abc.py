@@ -75,7 +75,7 @@ def _rows_within(limit: int) -> Column:
     Compared in whole numbers as ``100 * cumulative <= limit * grand_total``. With falling
     cumulative sums (returns outweigh sales) the rows counted are the product's last ones.
     """
-    step = "CAST(100 * total_sales AS DECIMAL(38,0))"
+    step = "CAST(100 * CAST(total_sales AS DECIMAL(38,0)) AS DECIMAL(38,0))"
     room = f"CAST({limit} * grand_total - 100 * weight_before AS DECIMAL(38,0))"
     return F.expr(f"""
         CASE WHEN total_sales IS NULL OR grand_total <= 0 THEN 0L

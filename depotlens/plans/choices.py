@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from depotlens.functions.filters import ALL_DATES
 from depotlens.operators.date_sums import date_bounds
 from depotlens.plans.party import Party
+from depotlens.plans.shortages import shortages
 from depotlens.sources.reader import Tables
 
 
@@ -19,7 +21,14 @@ def warehouse_choices(tables: Tables) -> DataFrame:
 
 
 def status_choices(tables: Tables, party: Party) -> DataFrame:
-    return tables[party.table].select(party.status).distinct()
+    """Statuses of transactions that have a partner, as the reports show them."""
+    pairs = tables[party.table].select(party.status, party.partner_id).distinct()
+    return pairs.join(tables[party.partners], party.partner_id, "left_semi").select(party.status).distinct()
+
+
+def shortage_dates(tables: Tables) -> DataFrame:
+    """Dates with a shortage, oldest first."""
+    return shortages(tables, ALL_DATES).select("stock_date").distinct().orderBy("stock_date")
 
 
 def order_date_bounds(tables: Tables, party: Party) -> DataFrame:

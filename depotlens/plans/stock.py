@@ -69,4 +69,4 @@ def stock_trend(tables: Tables, dates: Dates = None, warehouses: Names = None,
         .groupBy("stock_date", "warehouse_name")
         .agg(F.sum("quantity").alias("quantity_available"))
     )
-    return trend.where(stock_status(tables, dates, warehouses, term).exists()) if term else trend
+    return trend.where(stock_status(tables, dates, warehouses, term).exists())

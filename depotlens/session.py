@@ -18,13 +18,12 @@ DEFAULTS = {
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 BYTES_PER_PARTITION = 128 * 1024 * 1024
-MAX_PARTITIONS = 100_000
 
 
 def partitions_for(input_bytes: int) -> int:
     """Shuffle partitions to start with so that one partition fits in a task's memory even
     if everything that is read gets shuffled."""
-    return min(MAX_PARTITIONS, max(1, -(-input_bytes // BYTES_PER_PARTITION)))
+    return max(1, -(-input_bytes // BYTES_PER_PARTITION))
 
 
 def parallel_tasks(spark: SparkSession) -> int:

@@ -53,7 +53,7 @@ def conform(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, path: str, spec: TableSpec, fmt: str = "parquet") -> DataFrame | None:
-    """Read one snapshot, or return None when nothing lies at ``path``.
+    """Read one snapshot, or return None when nothing or only an unfinished write lies at ``path``.
 
     CSV columns are matched by header name and read as text; typing happens in
     :func:`conform`, so a date written with a midnight time still parses.
@@ -66,13 +66,19 @@ def read_snapshot(spark: SparkSession, path: str, spec: TableSpec, fmt: str = "p
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
-        # a partitioned table without rows is a directory without files
+        # a partitioned table without rows is a directory without files, but with the mark of a finished
+        # write; without the mark it may be an upload in progress
         if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
-            return empty_table(spark, spec)
+            return empty_table(spark, spec) if _is_finished(spark, path) else None
         raise
     return conform(raw, spec)
 
 
+def _is_finished(spark: SparkSession, path: str) -> bool:
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def empty_table(spark: SparkSession, spec: TableSpec) -> DataFrame:
     return spark.createDataFrame([], spec.schema)
 

@@ -254,8 +254,8 @@ _QUERIES: dict[str, str] = {
         "s.stock_date = DATE '1998-03-01' AND w.warehouse_name IN ('NATION_0', 'NATION_3', 'NATION_24')"),
     "stock_dates": "SELECT DISTINCT stock_date FROM warehouse_stock",
     "warehouse_choices": "SELECT DISTINCT warehouse_name FROM warehouses",
-    "status_choices": "SELECT DISTINCT delivery_status FROM deliveries",
-    "shipping_status_choices": "SELECT DISTINCT shipping_status FROM inv_orders",
+    "status_choices": "SELECT DISTINCT delivery_status FROM partner_deliveries",
+    "shipping_status_choices": "SELECT DISTINCT shipping_status FROM partner_orders",
     "delivery_date_bounds":
         "SELECT MIN(order_date) AS min_date, MAX(order_date) AS max_date FROM partner_deliveries",
     "shipping_date_bounds":
@@ -275,7 +275,8 @@ _QUERIES: dict[str, str] = {
         USING (stock_date) GROUP BY 1""",
     "stock_trend": """
         SELECT s.stock_date, w.warehouse_name, CAST(SUM(s.quantity_available) AS BIGINT) AS quantity_available
-        FROM warehouse_stock s JOIN warehouses w USING (warehouse_id) GROUP BY 1, 2""",
+        FROM warehouse_stock s JOIN warehouses w USING (warehouse_id) WHERE EXISTS (SELECT 1 FROM status)
+        GROUP BY 1, 2""",
     "stock_trend_filtered": """
         SELECT s.stock_date, w.warehouse_name, CAST(SUM(s.quantity_available) AS BIGINT) AS quantity_available
         FROM warehouse_stock s JOIN warehouses w USING (warehouse_id)
@@ -284,6 +285,7 @@ _QUERIES: dict[str, str] = {
           AND EXISTS (SELECT 1 FROM status WHERE stock_date IN (DATE '1997-05-01', DATE '1999-11-01')
                       AND warehouse_name IN ('NATION_1', 'NATION_7') AND product_name ILIKE '%plate%')
         GROUP BY 1, 2""",
+    "shortage_dates": "SELECT DISTINCT stock_date FROM short",
     "shortages": "SELECT * FROM short",
     "shortages_latest": f"SELECT * FROM short WHERE stock_date = {_LATEST_SHORT}",
     "shortages_regex": """

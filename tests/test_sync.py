@@ -66,7 +66,7 @@ def test_sync_of_all_tables(spark, tmp_path):
     )
     for name in ("suppliers", "products", "warehouse_stock"):
         exported[name].write.option("header", True).csv(source_path(source, name, "csv"))
-    summary = {r[0]: r[1:] for r in rows(sync.sync_all(spark, source, version0, version1))}
+    summary = {r[0]: r[1:] for r in rows(sync.sync_all(spark, source, version0, version1, first_load=True))}
     assert set(summary) == set(SPECS)
     assert summary["products"] == (0, 2, 0, "synced")
     assert summary["orders"] == (0, 0, 0, "skipped")
@@ -79,6 +79,14 @@ def test_sync_of_all_tables(spark, tmp_path):
     assert sorted(rows(read_tables(spark, version2)["products"])) == sorted(rows(stored["products"]))
     with pytest.raises(ValueError):
         sync.sync_all(spark, source, version1, version1 + "/")
+    with pytest.raises(ValueError):
+        sync.sync_all(spark, source, version0, version2 + "x")
+
+    # an upload in progress is no empty table
+    (tmp_path / "uploading" / "products.csv" / "_temporary").mkdir(parents=True)
+    third = {r[0]: r[1:] for r in rows(sync.sync_all(spark, str(tmp_path / "uploading"), version2, version2 + "y"))}
+    assert third["products"] == (0, 0, 0, "skipped")
+    assert read_tables(spark, version2 + "y")["products"].count() == stored["products"].count()
 
 
 def test_csv_is_typed_and_malformed_text_becomes_null(spark, tmp_path):
