@@ -21,13 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from depotlens.llm.common import checkpointed
+from depotlens.llm.common import checkpointed, numbered, sized_broadcast
 from depotlens.llm.words import mixed, words_of
 
 ALPHA = 0.4
 MIN_COUNT = 2
-HOT_SHARE = 20_000  # a word is frequent if it stands for more than this part of all words
+HOT_SHARE = 2000  # a word is frequent if it stands for more than one in so many of all words
 BROADCAST_WORDS = 4_000_000
+WORDS_PER_PART = 4_000_000  # occurrences that one partition sorts
+LIST_ROWS = 256  # bigrams that travel as one list
+PACKET_ROWS = 4_000_000
+MOST_KNOWN = 3_000_000_000  # two word numbers fit one 64-bit integer
 _U = np.uint64
 
 
@@ -47,64 +51,145 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _pairs(words) -> tuple[np.ndarray, np.ndarray]:
+    """Every word and the word before it; the first word of a text has the beginning, 0, before it."""
+    w2 = _word_ids(words)
+    w1 = np.zeros(len(w2), np.int64)
+    w1[1:] = w2[:-1]
+    w1[1:][words.row[1:] != words.row[:-1]] = 0
+    return w1, w2
+
+
 def bigrams(docs: DataFrame) -> DataFrame:
-    """(doc_id, w1, w2, n): the distinct bigrams of each document; the first word has the beginning, 0, before it."""
+    """(doc_id, w1, w2): all bigrams, in the order of the texts."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in words_of(batch.column("text")):
-                w2 = _word_ids(words)
-                w1 = np.zeros(len(w2), np.int64)
-                w1[1:] = w2[:-1]
-                w1[1:][words.row[1:] != words.row[:-1]] = 0
-                gram = mixed(w1.view(_U) * _U(3) + w2.view(_U) + words.row.astype(_U) * _U(0xD1B54A32D192ED03))
-                _, first, n = np.unique(gram, return_index=True, return_counts=True)
-                order = np.argsort(first)  # rows of one document stay together
-                first, n = first[order], n[order]
+                w1, w2 = _pairs(words)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(words.first + words.row)), pa.array(w1), pa.array(w2)],
+                    ["doc_id", "w1", "w2"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(read, "doc_id bigint, w1 bigint, w2 bigint")
+
+
+def frequent_pairs(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(w1, w2, c12): counts of the bigrams of two ``frequent`` words; every chunk is counted before it is shuffled."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in words_of(batch.column("text")):
+                pair = np.stack(_pairs(words))
+                both = pair[:, np.isin(pair, frequent).all(axis=0)]
+                own, n = np.unique(both, axis=1, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(words.first + words.row[first])), pa.array(w1[first]),
-                     pa.array(w2[first]), pa.array(n.astype(np.int32))], ["doc_id", "w1", "w2", "n"])
+                    [pa.array(own[0]), pa.array(own[1]), pa.array(n.astype(np.int64))], ["w1", "w2", "n"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        read, "doc_id bigint, w1 bigint, w2 bigint, n int")
+    return docs.select("text").mapInArrow(count, "w1 bigint, w2 bigint, n bigint").groupBy("w1", "w2").agg(
+        F.sum("n").alias("c12"))
+
+
+def packed(rows: DataFrame, parts: int) -> DataFrame:
+    """(part, docs, grams, n, s) from (doc_id, score, gram): one list of documents and bigrams per part and packet.
+
+    A bigram's part follows its hash. One more row a packet has the number and the sum of each document's scores,
+    and no bigrams. Packets grow with the number of parts, up to ``PACKET_ROWS``, so that lists stay long; they
+    take a third of the bytes of single rows.
+    """
+    most = min(LIST_ROWS * parts, PACKET_ROWS)
+
+    def lists(flat, offsets, kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+
+    def packet(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        docs = table.column("doc_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        code, ids = docs.indices.to_numpy(), docs.dictionary
+        sums = np.bincount(code, table.column("score").to_numpy(), len(ids))
+        some = table.column("gram").is_valid().to_numpy()
+        gram, code_of = table.column("gram").drop_null().to_numpy(), code[some]
+        part = (mixed(gram.view(_U)) % _U(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        own = int(mixed(np.array([table.num_rows + len(gram)], _U))[0] % _U(parts))
+        k, n = len(gram), len(ids)
+        none = [0] * (len(at) + 1)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.append(part[at], own), pa.int32()),
+            lists(pa.concat_arrays([ids.take(pa.array(code_of[order])), ids]), [*at, k, k + n], pa.int64()),
+            lists(gram[order], [*at, k, k], pa.int64()),
+            lists(np.bincount(code, minlength=n), [*none, n], pa.int64()),
+            lists(sums, [*none, n], pa.float64())], ["part", "docs", "grams", "n", "s"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= most:
+                yield packet(waiting)
+                waiting, size = [], 0
+        if size:
+            yield packet(waiting)
+
+    return rows.select("doc_id", "score", "gram").mapInArrow(
+        pack, "part int, docs array<bigint>, grams array<bigint>, n array<bigint>, s array<double>")
 
 
 def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every document.
 
     A text without words, NULL or empty, has 0 words, score 0 and a NULL mean. Rows that repeat a doc_id are
-    added up. Occurrences go to the partition of their bigram once and are counted and joined there. A word
-    is frequent if it stands for more than one in ``HOT_SHARE`` of all words: bigrams of two frequent words
-    are counted by partial sums first and joined with skew handling, all others are too rare to weigh down
-    a partition.
+    added up. Words seen ``min_count`` times or more are numbered, so that a bigram is one integer. Every
+    occurrence first gets the score it has without its bigram; bigrams of known words go to the partition of
+    their hash once, are counted there, and those in the table correct the sum.
+
+    A word is frequent if it stands for more than one in ``HOT_SHARE`` of all words. Bigrams of two frequent words,
+    at most ``HOT_SHARE`` squared, are counted beforehand by partial sums and looked up where the text is read; all
+    others are too rare to weigh down a partition. More than ``MOST_KNOWN`` known words raise ``ValueError``.
     """
     words = checkpointed(word_counts(docs))
     total, rare, known = words.agg(
         F.sum("n"), F.sum(F.when(F.col("n") < min_count, F.col("n"))),
         F.count(F.when(F.col("n") >= min_count, 1))).first()
     total = total or 1
+    if known > MOST_KNOWN:
+        raise ValueError(f"{known} known words, at most {MOST_KNOWN} can be numbered")
     unknown = math.log(max(rare or 1, 1) / total)
-    table = words.where(F.col("n") >= min_count)
+    table = checkpointed(numbered(words.where(F.col("n") >= min_count), [], ["word"], "id"))
     if known <= BROADCAST_WORDS:
         table = F.broadcast(table)
+    frequent = np.array([r.word for r in words.where(F.col("n") > total / HOT_SHARE).select("word").collect()], np.int64)
+    pairs = sized_broadcast(frequent_pairs(docs, frequent).where(F.col("c12") >= min_count))
+
     grams = bigrams(docs)
-    for w, c in (("w1", "c1"), ("w2", "c2")):
-        grams = grams.join(table.select(F.col("word").alias(w), F.col("n").alias(c)), w, "left")
-    limit = total / HOT_SHARE
-    is_hot = F.coalesce((F.col("c1") > limit) & (F.col("c2") > limit), F.lit(False))
-    grams = grams.select("doc_id", F.xxhash64("w1", "w2").alias("gram"), "n", "c1", "c2",
-                         (F.col("w1") == 0).alias("begins"), is_hot.alias("is_hot"))
-
-    def per_document(counted: DataFrame) -> DataFrame:
-        word = F.coalesce(F.log("c2") - math.log(total), F.lit(unknown))
-        score = F.when(F.col("begins"), word).when(
-            F.col("c12") >= min_count, F.log("c12") - F.log("c1")).otherwise(math.log(alpha) + word)
-        return counted.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * score).alias("s"))
-
-    cold, hot = (grams.where(c).drop("is_hot") for c in (~F.col("is_hot"), F.col("is_hot")))
-    cold = cold.withColumn("c12", F.sum("n").over(W.partitionBy("gram")))
-    hot = hot.join(hot.groupBy("gram").agg(F.sum("n").alias("c12")), "gram")
-    sums = per_document(cold).unionByName(per_document(hot)).groupBy("doc_id").agg(
-        F.sum("n").alias("n_words"), F.sum("s").alias("log_score"))
+    for k in "12":
+        grams = grams.join(table.select(F.col("word").alias(f"w{k}"), F.col("n").alias(f"c{k}"),
+                                        F.col("id").alias(f"id{k}")), f"w{k}", "left")
+    grams = grams.join(pairs, ["w1", "w2"], "left")
+    begins = F.col("w1") == 0
+    word = F.coalesce(F.log("c2") - math.log(total), F.lit(unknown))
+    score = F.when(begins, word).when(F.col("c12").isNotNull(), F.log("c12") - F.log("c1")).otherwise(
+        math.log(alpha) + word)
+    is_hot = F.least("c1", "c2") > total / HOT_SHARE
+    gram = F.when(~begins & F.col("id1").isNotNull() & F.col("id2").isNotNull() & ~is_hot,
+                  F.col("id1") * F.lit(known) + F.col("id2"))
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // WORDS_PER_PART))
+    sent = packed(grams.select("doc_id", score.alias("score"), gram.alias("gram")), parts)
+
+    one = sent.repartitionById(parts, F.col("part")).select("*", F.posexplode("docs").alias("_pos", "_doc")).select(
+        "part", F.col("_doc").alias("doc_id"), F.get("grams", "_pos").alias("gram"), F.get("n", "_pos").alias("n"),
+        F.get("s", "_pos").alias("s"))
+    c12 = F.count("gram").over(W.partitionBy("gram", "part"))  # sorted by bigram first
+    seen = one.withColumn("c12", c12).withColumn("_seen", F.when(F.col("c12") >= min_count, F.col("gram"))).select(
+        "doc_id", "n", "s", "c12", F.expr(f"_seen div {max(known, 1)}").alias("id1"),
+        (F.col("_seen") % max(known, 1)).alias("id2"))
+    for k in "12":
+        seen = seen.join(table.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"c{k}")), f"id{k}", "left")
+    better = F.log("c12") - F.log("c1") - math.log(alpha) - F.log("c2") + math.log(total)
+    sums = seen.groupBy("doc_id").agg(
+        F.sum("n").alias("n_words"),
+        F.sum(F.coalesce("s", better)).alias("log_score"))
     ids = docs.select(F.col("doc_id").cast("bigint")).distinct()
     s = sums.withColumnRenamed("doc_id", "_doc")
     return ids.join(s, ids["doc_id"].eqNullSafe(s["_doc"]), "left").select(
