@@ -28,7 +28,8 @@ ALPHA = 0.4
 MIN_COUNT = 2
 HOT_SHARE = 2000  # a word is frequent if it stands for more than one in so many of all words
 BROADCAST_WORDS = 4_000_000
-WORDS_PER_PART = 4_000_000  # occurrences that one partition sorts
+WORDS_PER_PART = 2_000_000  # occurrences that one partition sorts
+COUNT_CLASSES = 16
 LIST_ROWS = 256  # bigrams that travel as one list
 PACKET_ROWS = 4_000_000
 MOST_KNOWN = 3_000_000_000  # two word numbers fit one 64-bit integer
@@ -156,9 +157,16 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
     if known > MOST_KNOWN:
         raise ValueError(f"{known} known words, at most {MOST_KNOWN} can be numbered")
     unknown = math.log(max(rare or 1, 1) / total)
-    table = checkpointed(numbered(words.where(F.col("n") >= min_count), [], ["word"], "id"))
+    # numbered by rising count, so that the number tells the count of all but the words of the last class
+    last = min_count + COUNT_CLASSES
+    classed = words.where(F.col("n") >= min_count).withColumn("_class", F.least("n", F.lit(last)).cast("int"))
+    sizes = {r["_class"]: r["count"] for r in classed.groupBy("_class").count().collect()}
+    starts = {c: sum(n for k, n in sizes.items() if k < c) for c in range(min_count, last + 1)}
+    table = checkpointed(numbered(classed, ["_class"], ["word"], "_rank").withColumn(
+        "id", F.col("_rank") + F.element_at(F.lit(list(starts.values())), F.col("_class") - min_count + 1)))
+    counted = table.where(F.col("_class") == last).select("id", "n")
     if known <= BROADCAST_WORDS:
-        table = F.broadcast(table)
+        table, counted = F.broadcast(table), F.broadcast(counted)
     frequent = np.array([r.word for r in words.where(F.col("n") > total / HOT_SHARE).select("word").collect()], np.int64)
     pairs = sized_broadcast(frequent_pairs(docs, frequent).where(F.col("c12") >= min_count))
 
@@ -185,7 +193,9 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
         "doc_id", "n", "s", "c12", F.expr(f"_seen div {max(known, 1)}").alias("id1"),
         (F.col("_seen") % max(known, 1)).alias("id2"))
     for k in "12":
-        seen = seen.join(table.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"c{k}")), f"id{k}", "left")
+        seen = seen.join(counted.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"c{k}")), f"id{k}", "left")
+        below = [F.when(F.col(f"id{k}") < starts[c + 1], F.lit(c)) for c in range(min_count, last)]
+        seen = seen.withColumn(f"c{k}", F.coalesce(f"c{k}", *below))
     better = F.log("c12") - F.log("c1") - math.log(alpha) - F.log("c2") + math.log(total)
     sums = seen.groupBy("doc_id").agg(
         F.sum("n").alias("n_words"),
