@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 
 from depotlens.session import parallel_tasks
 
-CHUNK = 100_000
 
-
-def expand_rows(df: DataFrame, count: str, number: str, order_by: Sequence[Column],
-                chunk: int = CHUNK) -> DataFrame:
+def expand_rows(df: DataFrame, count: str, number: str, order_by: Sequence[Column], before: str, grand: str,
+                tasks: int | None = None) -> DataFrame:
     """Repeat each row ``count`` times, numbered from 1 in ``number``, in the given order.
 
-    A row is first split into chunks and the chunks are spread over all tasks by range, so
-    a row that stands for a third of the output is produced by a third of the tasks. The
-    explicit number of partitions matters: the chunks are small and adaptive execution
-    would otherwise merge them back into one task.
+    ``before`` and ``grand`` hold the running total of ``count`` before the row and over all rows. They place
+    every row of the listing, so the listing is cut at multiples of one task's share: each task makes the same
+    number of rows, whether they belong to one hot row or to many small ones. There are as many tasks as the
+    session has parallel ones, which follows the input size (see ``build_session``), unless ``tasks`` says
+    otherwise. Rows with no count are dropped.
     """
-    chunks = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.expr(f"({count} - 1) div {chunk}"))))
-    order = [*order_by, F.col("_chunk")]
-    first = F.col("_chunk") * chunk + 1
-    last = F.least(F.col(count), (F.col("_chunk") + 1) * chunk)
+    tasks = tasks or parallel_tasks(df.sparkSession)
+    share = f"(({grand} + {tasks - 1}) div {tasks})"
+    pieces = df.where(f"{count} > 0").withColumn(
+        "_task", F.expr(f"explode(sequence({before} div {share}, ({before} + {count} - 1) div {share}))"))
+    first = F.expr(f"greatest(1L, _task * {share} - {before} + 1)")
+    last = F.expr(f"least({count}, (_task + 1) * {share} - {before})")
     return (
-        chunks.repartitionByRange(parallel_tasks(df.sparkSession), *order)
-        .sortWithinPartitions(*order)
+        pieces.repartitionById(tasks, F.col("_task").cast("int"))
+        .sortWithinPartitions(*order_by)
         .withColumn(number, F.explode(F.sequence(first, last)))
-        .drop("_chunk")
+        .drop("_task")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,7 +14,13 @@ from depotlens.session import parallel_tasks
 def with_running_total(df: DataFrame, order_by: Sequence[Column], weight: Column,
                        before: str = "weight_before", grand: str = "grand_total",
                        buckets: int | None = None) -> DataFrame:
-    """Add the total weight of all earlier rows and the total weight of all rows.
+    """Add the total weight of all earlier rows and the total weight of all rows."""
+    return with_running_totals(df, order_by, {(before, grand): weight}, buckets)
+
+
+def with_running_totals(df: DataFrame, order_by: Sequence[Column], weights: Mapping[tuple[str, str], Column],
+                        buckets: int | None = None) -> DataFrame:
+    """For each (before, grand) add the total weight of all earlier rows and that of all rows, in one pass.
 
     ``order_by`` sorts ascending and must tell any two rows apart. A window ordered over
     the whole table would sort it in one task. Here the order is cut into value ranges
@@ -41,17 +47,18 @@ def with_running_total(df: DataFrame, order_by: Sequence[Column], weight: Column
         "_range", F.coalesce(bounds_below, F.lit(0))).drop("_bounds", "_key")
 
     # at most ``buckets`` + 1 rows from here on, whatever the size of ``df``
-    sums = ranged.groupBy("_range").agg(F.sum(weight).alias("_sum"))
-    in_order = W.orderBy("_range")
+    sums = ranged.groupBy("_range").agg(*[F.sum(w).alias(f"_sum_{b}") for (b, _), w in weights.items()])
+    earlier = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.orderBy("_range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = sums.select(
         "_range",
-        F.coalesce(F.sum("_sum").over(in_order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-        F.sum("_sum").over(in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias(grand),
-    )
+        *[F.coalesce(F.sum(f"_sum_{b}").over(earlier), F.lit(0)).alias(f"_offset_{b}") for b, _ in weights],
+        *[F.sum(f"_sum_{b}").over(whole).alias(grand) for b, grand in weights])
 
     within = W.partitionBy("_range").orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)
+    totals = {b: F.col(f"_offset_{b}") + F.coalesce(F.sum(w).over(within), F.lit(0)) for (b, _), w in weights.items()}
     return (
         ranged.join(F.broadcast(offsets), "_range")
-        .withColumn(before, F.col("_offset") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
-        .drop("_range", "_offset")
+        .withColumns(totals)
+        .drop("_range", *[f"_offset_{b}" for b, _ in weights])
     )

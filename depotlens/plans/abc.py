@@ -21,7 +21,7 @@ from depotlens.functions.filters import Day, in_date_range
 from depotlens.functions.scalars import percent, percent_text
 from depotlens.operators.date_sums import date_bounds
 from depotlens.operators.expand import expand_rows
-from depotlens.operators.running_total import with_running_total
+from depotlens.operators.running_total import with_running_totals
 from depotlens.sources.reader import Tables
 
 Grain = Literal["line", "product"]
@@ -92,13 +92,13 @@ def _rows_within(limit: int) -> Column:
 
 
 def ranked_products(sales: DataFrame) -> DataFrame:
-    """Products with the weight ranked before them and their rows up to each limit."""
+    """Products with the weight and the rows ranked before them and their rows up to each limit."""
     weight = F.coalesce(F.col("total_sales"), F.lit(0)).cast(WIDE) * F.col("row_count").cast(WIDE)
-    ranked = with_running_total(
-        sales.withColumn("weight", weight.cast(WIDE)), _ranking(), F.col("weight"))
+    ranked = with_running_totals(sales.withColumn("weight", weight.cast(WIDE)), _ranking(), {
+        ("weight_before", "grand_total"): F.col("weight"), ("rows_before", "rows_total"): F.col("row_count")})
     limits = [0, *CATEGORY_LIMITS.values()]
     return ranked.select(
-        "product_name", "total_sales", "row_count",
+        "product_name", "total_sales", "row_count", "rows_before", "rows_total",
         *[F.col(c).cast(WIDE).alias(c) for c in ("weight_before", "grand_total")],
     ).withColumns({f"within_{x}": _rows_within(x) for x in limits})
 
@@ -119,7 +119,7 @@ def abc_report(tables: Tables, start: Day = None, end: Day = None, grain: Grain
         "grand": F.col("grand_total").cast("double"),
     }).drop("weight_before", "grand_total")
     if grain == "line":
-        rows = expand_rows(ranked, "row_count", "k", _ranking())
+        rows = expand_rows(ranked, "row_count", "k", _ranking(), "rows_before", "rows_total")
     else:
         rows = ranked.orderBy(*_ranking()).withColumn("k", F.lit(1).cast("bigint"))
     total = F.col("total_sales")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.functions.filters import Dates, matching_like, named, on_dates
+from depotlens.functions.filters import ALL_DATES, Dates, matching_like, named, on_dates
 from depotlens.operators.date_sums import sum_by_date
 from depotlens.sources.reader import Tables
 
@@ -36,16 +36,18 @@ def stock_totals_by_date(tables: Tables, dates: Dates = None, warehouses: Names
     """(stock_date, total_available) over the rows of :func:`stock_status`; a chosen date
     without such rows has total 0.
 
-    Outer joins keep the stock rows the filters exclude, with nothing to add, so the dates
-    do not have to be looked up in a second scan.
+    Dates asked for by name are known, so inner joins drop what the filters exclude. Otherwise
+    outer joins keep those stock rows, with nothing to add, so the dates do not have to be
+    looked up in a second scan.
     """
+    how = "inner" if dates and dates != ALL_DATES else "left"
     stock = on_dates(tables["warehouse_stock"], "stock_date", dates)
     products = matching_like(tables["products"], "product_name", term)
     places = named(tables["warehouses"], "warehouse_name", warehouses)
     rows = (
         stock.select("stock_date", "product_code", "warehouse_id", "quantity_available")
-        .join(products.select("product_code", F.lit(True).alias("has_product")), "product_code", "left")
-        .join(places.select("warehouse_id", F.lit(True).alias("has_place")), "warehouse_id", "left")
+        .join(products.select("product_code", F.lit(True).alias("has_product")), "product_code", how)
+        .join(places.select("warehouse_id", F.lit(True).alias("has_place")), "warehouse_id", how)
     )
     counted = F.when(F.col("has_product") & F.col("has_place"), F.col("quantity_available"))
     return sum_by_date(rows, "stock_date", {"total_available": counted}, dates)

@@ -61,10 +61,10 @@ def save_table(df: DataFrame, name: str, spec: TableSpec, buckets: int) -> None:
 
 def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Append rows to a stored table."""
-    writer = df.write.mode("append")
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("append").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("append").parquet(path)
 
 
 def with_headings(df: DataFrame) -> DataFrame:

@@ -143,10 +143,12 @@ def test_running_total_of_few_and_no_rows(spark):
     assert rows(with_running_total(df.where("w > 9"), [F.col("name")], F.col("w"))) == []
 
 
-def test_expansion_is_complete_ordered_and_spread(spark):
-    df = spark.createDataFrame([("b", 1), ("a", 1003), ("c", 10), ("d", 20)], "name STRING, n BIGINT")
-    got = expand_rows(df, "n", "k", [F.col("name")], chunk=10)
-    expected = [(name, n, k) for name, n in sorted(rows(df)) for k in range(1, n + 1)]
+def test_expansion_is_complete_ordered_and_even(spark):
+    df = spark.createDataFrame([("b", 1), ("a", 1003), ("c", 10), ("d", 20), ("e", 0), ("f", None)], "name STRING, n BIGINT")
+    placed = with_running_total(df, [F.col("name")], F.col("n"), "before", "total")
+    got = expand_rows(placed, "n", "k", [F.col("name")], "before", "total", tasks=10).select("name", "n", "k")
+    expected = [(name, n, k) for name, n in sorted(rows(df)) for k in range(1, (n or 0) + 1)]
     assert rows(got) == expected
-    tasks = rows(got.where("name = 'a'").groupBy(F.spark_partition_id()).count())
-    assert len(tasks) > 4 and max(n for _, n in tasks) < 600
+    tasks = rows(got.groupBy(F.spark_partition_id()).count())
+    assert len(tasks) == 10 and max(n for _, n in tasks) == 104
+    assert rows(expand_rows(placed.where("n > 9999"), "n", "k", [F.col("name")], "before", "total")) == []
