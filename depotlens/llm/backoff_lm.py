@@ -2,7 +2,8 @@
 
 Counts cover all documents. N-grams seen fewer than ``min_count`` times are not in the tables; a bigram
 that is missing backs off to its second word, and a word that is missing to the pooled count of all such
-words. The first word of a text is scored as a word.
+words. The first word of a text is scored as a word. With ``min_count`` 1 nothing is cut: every word and bigram
+has its own count. Words seen once are not joined then either, as they and their bigrams count 1.
 
     S(w2 | w1) = c(w1 w2) / c(w1)      if the bigram is in its table
                = alpha * c(w2) / N     otherwise
@@ -148,27 +149,31 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
     A word is frequent if it stands for more than one in ``HOT_SHARE`` of all words. Bigrams of two frequent words,
     at most ``HOT_SHARE`` squared, are counted beforehand by partial sums and looked up where the text is read; all
     others are too rare to weigh down a partition. More than ``MOST_KNOWN`` known words raise ``ValueError``.
+
+    With ``min_count`` 1 the words seen twice or more are numbered. Of the others each has count 1, and so has
+    every bigram that holds one, so the scores are exact without looking them up.
     """
+    whole, min_count, least = min_count <= 1, max(min_count, 1), max(min_count, 2)
     words = checkpointed(word_counts(docs))
     total, rare, known = words.agg(
-        F.sum("n"), F.sum(F.when(F.col("n") < min_count, F.col("n"))),
-        F.count(F.when(F.col("n") >= min_count, 1))).first()
+        F.sum("n"), F.sum(F.when(F.col("n") < least, F.col("n"))),
+        F.count(F.when(F.col("n") >= least, 1))).first()
     total = total or 1
     if known > MOST_KNOWN:
         raise ValueError(f"{known} known words, at most {MOST_KNOWN} can be numbered")
-    unknown = math.log(max(rare or 1, 1) / total)
+    unknown = math.log((1 if whole else max(rare or 1, 1)) / total)
     # numbered by rising count, so that the number tells the count of all but the words of the last class
-    last = min_count + COUNT_CLASSES
-    classed = words.where(F.col("n") >= min_count).withColumn("_class", F.least("n", F.lit(last)).cast("int"))
+    last = least + COUNT_CLASSES
+    classed = words.where(F.col("n") >= least).withColumn("_class", F.least("n", F.lit(last)).cast("int"))
     sizes = {r["_class"]: r["count"] for r in classed.groupBy("_class").count().collect()}
-    starts = {c: sum(n for k, n in sizes.items() if k < c) for c in range(min_count, last + 1)}
+    starts = {c: sum(n for k, n in sizes.items() if k < c) for c in range(least, last + 1)}
     table = checkpointed(numbered(classed, ["_class"], ["word"], "_rank").withColumn(
-        "id", F.col("_rank") + F.element_at(F.lit(list(starts.values())), F.col("_class") - min_count + 1)))
+        "id", F.col("_rank") + F.element_at(F.lit(list(starts.values())), F.col("_class") - least + 1)))
     counted = table.where(F.col("_class") == last).select("id", "n")
     if known <= BROADCAST_WORDS:
         table, counted = F.broadcast(table), F.broadcast(counted)
     frequent = np.array([r.word for r in words.where(F.col("n") > total / HOT_SHARE).select("word").collect()], np.int64)
-    pairs = sized_broadcast(frequent_pairs(docs, frequent).where(F.col("c12") >= min_count))
+    pairs = sized_broadcast(frequent_pairs(docs, frequent).where(F.col("c12") >= least))
 
     grams = bigrams(docs)
     for k in "12":
@@ -177,9 +182,10 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
     grams = grams.join(pairs, ["w1", "w2"], "left")
     begins = F.col("w1") == 0
     word = F.coalesce(F.log("c2") - math.log(total), F.lit(unknown))
-    score = F.when(begins, word).when(F.col("c12").isNotNull(), F.log("c12") - F.log("c1")).otherwise(
-        math.log(alpha) + word)
     is_hot = F.least("c1", "c2") > total / HOT_SHARE
+    once = F.lit(whole) & (F.col("id1").isNull() | F.col("id2").isNull() | is_hot)  # bigrams that are sure to count 1
+    score = F.when(begins, word).when(F.col("c12").isNotNull(), F.log("c12") - F.log("c1")).when(
+        once, -F.log(F.coalesce("c1", F.lit(1)))).otherwise(math.log(alpha) + word)
     gram = F.when(~begins & F.col("id1").isNotNull() & F.col("id2").isNotNull() & ~is_hot,
                   F.col("id1") * F.lit(known) + F.col("id2"))
     parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // WORDS_PER_PART))
@@ -194,7 +200,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
         (F.col("_seen") % max(known, 1)).alias("id2"))
     for k in "12":
         seen = seen.join(counted.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"c{k}")), f"id{k}", "left")
-        below = [F.when(F.col(f"id{k}") < starts[c + 1], F.lit(c)) for c in range(min_count, last)]
+        below = [F.when(F.col(f"id{k}") < starts[c + 1], F.lit(c)) for c in range(least, last)]
         seen = seen.withColumn(f"c{k}", F.coalesce(f"c{k}", *below))
     better = F.log("c12") - F.log("c1") - math.log(alpha) - F.log("c2") + math.log(total)
     sums = seen.groupBy("doc_id").agg(

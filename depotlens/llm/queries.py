@@ -42,6 +42,11 @@ def op5_backoff_lm(spark, sf_dir):
     return backoff_lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op5_backoff_lm_whole(spark, sf_dir):
+    """All n-grams; ``op5_backoff_lm`` leaves out those seen once, as its SQL does."""
+    return backoff_lm.scores(table(spark, sf_dir, "documents"), min_count=1)
+
+
 def op6_rendezvous(spark, sf_dir):
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -85,6 +90,7 @@ def queries():
         "op3_jaccard_join": op3_jaccard_join,
         "op4_pivot_search": op4_pivot_search,
         "op5_backoff_lm": op5_backoff_lm,
+        "op5_backoff_lm_whole": op5_backoff_lm_whole,
         "op6_rendezvous": op6_rendezvous,
         "op7_knn_quality": op7_knn_quality,
         "op8_chat_format": op8_chat_format,

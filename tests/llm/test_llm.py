@@ -310,6 +310,23 @@ def test_backoff_scores_match_brute_force(spark, docs):
         assert got[doc].log_score == pytest.approx(expected, abs=1e-4)
 
 
+def test_whole_backoff_counts_every_ngram(spark, small, docs):
+    texts = {d: words(re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) for d, t in zip(docs.doc_id, docs.text)}
+    tiny = {0: ["new", "words", "only"], 1: ["a", "b", "a", "b", "a", "c"], 2: ["once"], 3: []}
+    hot = {i: ["the", "of", f"x{i}"] + ["the"] * (i % 3) for i in range(3000)} | {3000: ["of", "the", "of"]}
+    frame = lambda t: spark.createDataFrame([(k, " ".join(x)) for k, x in t.items()], "doc_id bigint, text string")
+    for w, got in ((texts, queries.op5_backoff_lm_whole(spark, small)), (tiny, backoff_lm.scores(frame(tiny), min_count=1)),
+                   (hot, backoff_lm.scores(frame(hot), min_count=1))):
+        one = collections.Counter(itertools.chain.from_iterable(w.values()))
+        two = collections.Counter(p for x in w.values() for p in zip(x, x[1:]))
+        total, got = sum(one.values()), by_id(got)
+        assert len(got) == len(w)
+        for doc, x in w.items():
+            expected = sum(math.log(two[p] / one[p[0]]) for p in zip(x, x[1:])) + (math.log(one[x[0]] / total) if x else 0)
+            assert got[doc].n_words == len(x)
+            assert got[doc].log_score == pytest.approx(expected, abs=1e-4)
+
+
 def test_backoff_odd_rows(odd, nothing):
     got = {r.doc_id: r for r in backoff_lm.scores(odd).collect()}
     assert len(got) == 9 and got[1].n_words == 0 and got[2].mean_log_score is None and got[4].n_words == 4
