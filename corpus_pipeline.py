@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from depotlens.llm import jaccard_join, knn_quality, pattern_packing, pfair_mix, secret_scan
 from depotlens.llm.common import shared_folder, sized_broadcast, table
 
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
 
 def quality(spark, docs, sf_dir):
     """Drop the documents that the quality classifier rejects."""
@@ -22,8 +25,8 @@ def quality(spark, docs, sf_dir):
 
 
 def near_copies(spark, docs, sf_dir):
-    """Keep the document with the smallest id of each group of near copies."""
-    return jaccard_join.one_of_each(docs)
+    """Keep the document with the smallest id of each group of near copies: five words a shingle, 80 percent."""
+    return jaccard_join.one_of_each(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def secrets(spark, docs, sf_dir):

@@ -562,6 +562,20 @@ def test_pipeline_stages(spark, small, docs):
     assert len(good & ids["quality"]) >= 0.97 * len(good)
 
 
+def test_near_copies_at_five_words_and_80_percent(spark):
+    rng = np.random.default_rng(3)
+    listed = []
+    for n in (60, 93, 94, 98, 101, 102, 150):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+        copy = list(base)
+        copy[n // 3], copy[2 * n // 3] = "other", "words"
+        listed += [" ".join(base), " ".join(copy)]
+    texts = dict(enumerate(listed))
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, df, None).collect()}
+    assert got == {c for _, c in brute_components(texts, 5, 80).values()} == {0, 1, 2, 3, 4, 6, 8, 10, 12}
+
+
 def test_pipeline_is_its_stages(spark, small):
     got = corpus_pipeline.run(spark, small).toPandas()
     check_packing(got, 2048)
