@@ -37,18 +37,27 @@ def secrets(spark, docs, sf_dir):
         F.size("secret_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-def mixing(spark, docs, sf_dir):
-    """Put the documents into the order of the mix; nothing is dropped. Only ids and sources are scheduled."""
-    placed = pfair_mix.mixed(docs.select("doc_id", "source")).groupBy(F.col("doc_id").alias("_id")).agg(
+def in_mix(docs):
+    """(_id, _position): the first position in the mix of every doc_id. Only ids and sources are scheduled."""
+    return pfair_mix.mixed(docs.select("doc_id", "source")).groupBy(F.col("doc_id").alias("_id")).agg(
         F.min("position").alias("_position"))
-    ordered = docs.join(sized_broadcast(placed), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+
+
+def mixing(spark, docs, sf_dir):
+    """Put the documents into the order of the mix; nothing is dropped."""
+    ordered = docs.join(sized_broadcast(in_mix(docs)), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
     return ordered.orderBy("_position", "doc_id").select(*[docs[c] for c in docs.columns])
 
 
 def packing(spark, docs, sf_dir):
-    """Cut into token pieces and pack them into sequences."""
+    """Cut into token pieces and pack them into sequences that follow the mix.
+
+    Files have no order, so the positions are computed again from ids and sources.
+    """
     path = public_tokenizers.path(pattern_packing.TOKENIZER_FILE)
-    return pattern_packing.packed(pattern_packing.pieces(docs, path))
+    cut, placed = pattern_packing.pieces(docs, path), sized_broadcast(in_mix(docs))
+    pieces = cut.join(placed, cut["doc_id"].eqNullSafe(F.col("_id")), "left").select(*cut.columns, "_position")
+    return pattern_packing.packed(pieces, position="_position").drop("_position")
 
 
 STAGES = [

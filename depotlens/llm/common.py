@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,15 +50,17 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
-             buckets: int | None = None) -> DataFrame:
+             buckets: int | None = None, part: Column | None = None) -> DataFrame:
     """Number the rows of each key from 0 without gaps in column ``name``.
 
     ``keys`` hold no NULL. A key is cut into buckets by a hash of ``order``; the rows of a bucket are
     numbered by themselves and the counts of the buckets, at most ``buckets`` rows per key, give the
-    offsets. So a key that holds a third of all rows is numbered by many tasks.
+    offsets. So a key that holds a third of all rows is numbered by many tasks. With ``part``, the share from 0 to 1
+    of the order that lies before a row, buckets are ranges of it, so that the numbers follow ``order``.
     """
     buckets = buckets or parallel_tasks(df.sparkSession)
-    cut = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets)) if part is None else F.floor(part * buckets)
+    cut = df.withColumn("_bucket", bucket.cast("int"))
     counts = cut.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))

@@ -4,7 +4,8 @@ Only the histogram of piece lengths reaches the driver: at most as many numbers
 tokens, whatever the number of documents. There, patterns of two and three lengths that nearly fill a
 sequence get repeat counts by non-negative least squares; the counts are rounded down and the rest of
 the histogram is packed by best fit, decreasing. Spark then numbers the pieces of each length and joins
-the numbers to the plan.
+the numbers to the plan. Where pieces have a position, all patterns are repeated at an even pace, so that the pieces
+of a sequence come from about the same part of the order, and sequences are numbered by their first piece.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depotlens.llm.common import checkpointed, numbered
@@ -185,15 +187,54 @@ def packing_plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[
     return plan + best_fit(left, capacity)
 
 
-def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with ``length`` from 1 to ``capacity``; every piece is placed."""
+def _in_order(stored: DataFrame, plan: list[tuple[tuple[int, ...], int]], position: str) -> DataFrame:
+    """Pieces with ``sequence_id`` and ``offset``, along ``position``.
+
+    Repeat k of n of a pattern is due at (k + 1/2) / n of the way. The slots of a length take its pieces in the order of
+    their times, and a sequence is numbered by, and begins with, its first piece.
+    """
+    spark, columns = stored.sparkSession, stored.columns
+    patterns = spark.createDataFrame([(i, list(map(int, x)), int(n)) for i, (x, n) in enumerate(plan)],
+                                     "pattern int, lengths array<bigint>, repeats bigint")
+    # a pattern with many repeats is listed in pieces of so many
+    step = 4096
+    runs = patterns.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(repeats - 1) div {step}"))))
+    each = runs.repartition("pattern", "run").withColumn("repeat", F.explode(F.sequence(
+        F.col("run") * step, F.least((F.col("run") + 1) * step, F.col("repeats")) - 1)))
+    slots = each.withColumn("time", (F.col("repeat") + 0.5) / F.col("repeats")).select(
+        "pattern", "repeat", "time", F.posexplode("lengths").alias("nth", "length"))
+    slots = numbered(slots, ["length"], ["time", "pattern", "repeat", "nth"], "_rank", part=F.col("time"))
+
+    last = stored.agg(F.max(position)).first()[0] or 0
+    order = [position, "doc_id", "piece", "start", "ids_crc32"]
+    ranked = numbered(stored, ["length"], order, "_rank", part=F.col(position) / (last + 1))
+    placed = ranked.join(slots.select("length", "_rank", "pattern", "repeat"), ["length", "_rank"])
+    within = W.partitionBy("pattern", "repeat").orderBy(*order)
+    placed = checkpointed(placed.withColumns({
+        "offset": F.coalesce(F.sum("length").over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+        "_first": F.min(position).over(within)}))
+    sequences = numbered(placed.where("offset = 0").select("pattern", "repeat", "_first"), [],
+                         ["_first", "pattern", "repeat"], "sequence_id", part=F.col("_first") / (last + 1))
+    return placed.join(sequences.select("pattern", "repeat", "sequence_id"), ["pattern", "repeat"]).select(
+        *columns, "sequence_id", "offset")
+
+
+def packed(cut: DataFrame, capacity: int = CAPACITY, position: str | None = None) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces with ``length`` from 1 to ``capacity``; every piece is placed.
+
+    With ``position``, a column of whole numbers from 0 with few rows each, pieces of each length are used in its
+    order and the first pieces of the sequences ascend in it.
+    """
     spark = cut.sparkSession
     stored = checkpointed(cut)
     histogram = np.zeros(capacity + 1, np.int64)
     for row in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         histogram[row.length] = row.n
+    found = packing_plan(histogram, capacity)
+    if position is not None:
+        return _in_order(stored, found, position)
     rows, used, base = [], np.zeros(capacity + 1, np.int64), 0
-    for lengths, n in packing_plan(histogram, capacity):
+    for lengths, n in found:
         offset = 0
         for length in lengths:
             rows.append((int(length), int(used[length]), int(used[length]) + n - 1, base, offset))

@@ -576,6 +576,34 @@ def test_near_copies_at_five_words_and_80_percent(spark):
     assert got == {c for _, c in brute_components(texts, 5, 80).values()} == {0, 1, 2, 3, 4, 6, 8, 10, 12}
 
 
+def test_sequences_follow_the_mix(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    mixed = pfair_mix.mixed(docs.select("doc_id", "source")).toPandas().set_index("doc_id").position
+    shuffled = corpus_pipeline.mixing(spark, docs, small).orderBy(F.xxhash64("text"))
+    got = corpus_pipeline.packing(spark, shuffled, small).toPandas()
+    check_packing(got, 2048)
+    assert sorted(set(got.sequence_id)) == list(range(got.sequence_id.nunique()))
+    got["position"] = got.doc_id.map(mixed)
+    first = got[got.offset == 0].sort_values("sequence_id")
+    assert first.position.is_monotonic_increasing and mixed.max() > 3
+    for _, g in got.groupby("sequence_id"):
+        assert g.sort_values("offset").position.is_monotonic_increasing
+    plain = pattern_packing.packed(pattern_packing.pieces(docs, public_tokenizers.path(pattern_packing.TOKENIZER_FILE)))
+    plain = plain.toPandas()
+    assert sorted(zip(got.doc_id, got.piece, got.ids_crc32)) == sorted(zip(plain.doc_id, plain.piece, plain.ids_crc32))
+    assert got.sequence_id.nunique() == plain.sequence_id.nunique()
+
+
+def test_sequences_of_few_lengths_keep_close_to_the_order(spark):
+    lengths = np.random.default_rng(2).choice([300, 500, 700, 900, 1200, 2048], 6000)
+    rows = [(i, 0, 0, int(n), i, i // 16) for i, n in enumerate(lengths)]
+    cut = spark.createDataFrame(rows, pattern_packing.PIECES + ", position bigint")
+    got = pattern_packing.packed(cut, position="position").toPandas()
+    check_packing(got, 2048)
+    assert sorted(got.doc_id) == list(range(len(rows)))
+    assert np.corrcoef(got.sequence_id, got.position)[0, 1] > 0.95
+
+
 def test_pipeline_is_its_stages(spark, small):
     got = corpus_pipeline.run(spark, small).toPandas()
     check_packing(got, 2048)
