@@ -517,6 +517,29 @@ def test_whole_weights():
         pfair_mix.whole_weights({"a": 0})
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.0004, "b": 0.9, "c": 0.0996},
+                                     {"a": 1 / 3, "b": 0.1234567, "c": 1e-9}, {"a": 0.3, "b": 3.3, "c": 1.7}])
+def test_mix_keeps_to_the_given_weights_over_many_periods(spark, weights):
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, "abc")), (
+        F.col("id") % 3 + 1).cast("int")).alias("source"))
+    got = pfair_mix.mixed(df, weights, block_rows=1).toPandas().sort_values("position")
+    assert sorted(got.doc_id) == list(range(9000)) and list(got.position) == list(range(9000))
+    lasting = got.groupby("source").position.max().min() + 1
+    assert lasting > 3000
+    total = sum(weights.values())
+    for s, w in weights.items():
+        had = (got.source == s).cumsum().to_numpy()[:lasting]
+        assert (abs(had - (np.arange(lasting) + 1) * w / total) < 1).all()
+
+
+def test_many_sources_keep_their_weights():
+    weights = pfair_mix.exact_weights({str(i): 1 + i % 7 for i in range(1500)})
+    assert weights == {str(i): 1 + i % 7 for i in range(1500)}
+    blocks = {s: 2 * w for s, w in weights.items()}
+    placed = pfair_mix.period(weights)
+    assert [x[:2] for x in itertools.islice(pfair_mix.schedule(weights, blocks), len(placed))] == [x[:2] for x in placed]
+
+
 def test_mix_odd_rows(odd, nothing):
     assert pfair_mix.mixed(odd).count() == 10
     assert pfair_mix.mixed(nothing).count() == 0
