@@ -39,7 +39,8 @@ def secrets(spark, docs, sf_dir):
 
 def in_mix(docs):
     """(_id, _position): the first position in the mix of every doc_id. Only ids and sources are scheduled."""
-    return pfair_mix.mixed(docs.select("doc_id", "source")).groupBy(F.col("doc_id").alias("_id")).agg(
+    ids = docs.select("doc_id", "source")
+    return pfair_mix.mixed(ids, pfair_mix.target_weights(ids)).groupBy(F.col("doc_id").alias("_id")).agg(
         F.min("position").alias("_position"))
 
 

@@ -120,6 +120,13 @@ def _placed_blocks(spark, weights: Mapping[str, int], blocks: Mapping[str, int])
         place, "_source string, block bigint, release bigint, deadline bigint, position bigint")
 
 
+def target_weights(docs: DataFrame, source: str = "source") -> dict[str, int]:
+    """Square roots, rounded up, of the numbers of rows: large sources are sampled more, but less than they are larger."""
+    rows = docs.groupBy(F.coalesce(F.col(source), F.lit(NO_SOURCE)).alias("_source")).agg(
+        F.ceil(F.sqrt(F.count(F.lit(1)))).alias("w"))
+    return {r._source: r.w for r in rows.collect()}
+
+
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, key: str = "doc_id", source: str = "source",
           block_rows: int = BLOCK_ROWS, default_weight: float = 1.0, resolution: int | None = None) -> DataFrame:
     """Add ``block``, ``release``, ``deadline`` and ``position`` of each row's block in the mix.

@@ -80,7 +80,7 @@ def op9_pattern_packing(spark, sf_dir):
 
 def op10_pfair_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return pfair_mix.mixed(docs)
+    return pfair_mix.mixed(docs, pfair_mix.target_weights(docs))
 
 
 def queries():

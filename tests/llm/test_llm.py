@@ -540,6 +540,15 @@ def test_many_sources_keep_their_weights():
     assert [x[:2] for x in itertools.islice(pfair_mix.schedule(weights, blocks), len(placed))] == [x[:2] for x in placed]
 
 
+def test_op10_mixes_to_unequal_weights(spark, small, docs):
+    got = queries.op10_pfair_mix(spark, small).toPandas()
+    weights = {s: math.ceil(math.sqrt(n)) for s, n in docs.source.fillna("").value_counts().items()}
+    assert pfair_mix.target_weights(spark.read.parquet(f"{small}/documents.parquet")) == weights
+    total = sum(weights.values())
+    for s, block, release, deadline in got[["source", "block", "release", "deadline"]].fillna({"source": ""}).values:
+        assert (release, deadline) == (block * total // weights[s], -(-(block + 1) * total // weights[s]))
+
+
 def test_mix_odd_rows(odd, nothing):
     assert pfair_mix.mixed(odd).count() == 10
     assert pfair_mix.mixed(nothing).count() == 0
@@ -601,7 +610,7 @@ def test_near_copies_at_five_words_and_80_percent(spark):
 
 def test_sequences_follow_the_mix(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    mixed = pfair_mix.mixed(docs.select("doc_id", "source")).toPandas().set_index("doc_id").position
+    mixed = pfair_mix.mixed(docs, pfair_mix.target_weights(docs)).toPandas().set_index("doc_id").position
     shuffled = corpus_pipeline.mixing(spark, docs, small).orderBy(F.xxhash64("text"))
     got = corpus_pipeline.packing(spark, shuffled, small).toPandas()
     check_packing(got, 2048)
