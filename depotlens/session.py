@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Adaptive execution does the size-checked work of this library: it turns a join into a
@@ -54,3 +56,18 @@ def build_session(app_name: str = "depotlens", master: str | None = None, conf:
         if key not in submitted and key not in (conf or {}):
             spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where that is unset a temporary folder is made, in local sessions only: on a cluster it would lie on the
+    driver's machine alone, so there ``ValueError`` is raised.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="depotlens-"))
+    return context.getCheckpointDir()
