@@ -2,39 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from depotlens.session import parallel_tasks
+from depotlens.session import parallel_tasks, shared_folder
 
 BROADCAST_ROWS = 2_000_000  # rows of a number or two, 32 MB
 
+
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data directory."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset, as in local tests, a temporary folder is made.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="depotlens-"))
-    return context.getCheckpointDir()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to a folder of its own in the shared folder and read it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sized_broadcast(keys: DataFrame, most_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``keys``, a narrow table, stored; marked for broadcast if it has at most ``most_rows`` rows, else joined by shuffle."""
     stored = checkpointed(keys)

@@ -10,8 +10,6 @@ of a sequence come from about the same part of the order, and sequences are numb
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -22,74 +20,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depotlens.llm.common import checkpointed, numbered
+from depotlens.llm.token_chunks import closed, library_encoder, words_and_spaces
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_CHUNKS = 400_000
 TOKENIZER_FILE = "word_bpe_49k.json"
-SPECIAL_MARK = b"<|"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLAN = "length bigint, first bigint, last bigint, base bigint, offset bigint"
 
 
-def _encoder(path: str):
-    """Encode a text to its little-endian ids. White space never joins a token, so the ids of a text are those
-    of its pieces between white space, and these are kept in a cache of bounded size per worker process."""
-    kept = sys.modules.setdefault("_depotlens_tokens", types.ModuleType("_depotlens_tokens")).__dict__
-    if path not in kept:
-        from tokenizers import Tokenizer
-
-        kept[path] = Tokenizer.from_file(path), {}
-    tokenizer, cache = kept[path]
-    tails = b".,"
-
-    def ids(chunk: bytes) -> bytes:
-        return np.array(tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def missed(chunk: bytes) -> bytes:
-        if len(cache) >= CACHE_CHUNKS:
-            cache.clear()
-        # a stop after an ASCII letter is a token of its own
-        if len(chunk) > 1 and chunk[-1] in tails and chunk[-2:-1].isalpha() and SPECIAL_MARK not in chunk:
-            found = lookup(chunk[:-1]) + lookup(chunk[-1:])
-        else:
-            found = ids(chunk)
-        cache[chunk] = found
-        return found
-
-    def lookup(chunk: bytes) -> bytes:
-        found = cache.get(chunk)
-        return missed(chunk) if found is None else found
-
-    def encode(text: str) -> bytes:
-        raw = text.encode()
-        if SPECIAL_MARK not in raw:
-            raw = raw.lower()  # the tokenizer lower-cases all but its special tokens
-        return b"".join([cache.get(c) or missed(c) for c in raw.split()])
-
-    return encode
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of each document: its ids and a closing 0, cut only where longer than ``capacity``.
 
     A NULL or empty text is the closing id alone. The ids themselves are returned as their CRC-32.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer_path)
-        closing = np.array([END_ID], "<u4").tobytes()
+        encoder, specials = library_encoder(tokenizer_path)
         for batch in batches:
-            out = [[], [], [], [], []]
-            docs_ = batch.column("doc_id").to_pylist()
-            for doc, text in zip(docs_, batch.column("text")):
-                ids = encode(text.as_py() or "") + closing
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at:at + 4 * capacity]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
-            types_ = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types_)],
-                                             ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for tokens in encoder.tokens(batch.column("text"), words_and_spaces, specials):
+                ids, bounds = closed(tokens, END_ID)
+                size = np.diff(bounds)
+                n = -(-size // capacity)
+                row = np.repeat(np.arange(tokens.rows), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                raw, at = memoryview(ids.astype("<u4")).cast("B"), 4 * (bounds[row] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(tokens.first + row)), pa.array(piece, pa.int32()),
+                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
 

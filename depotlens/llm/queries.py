@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from depotlens.llm import (backoff_lm, chat_format, host_rules, jaccard_join, knn_quality, pattern_packing, pfair_mix,
-                           pivot_search, rendezvous, secret_scan)
-from depotlens.llm.common import checkpointed, numbered, table
+                           pivot_search, rans_files, rendezvous, rotated_kmeans, secret_scan, token_align)
+from depotlens.llm.common import checkpointed, numbered, shared_folder, table
 
 SHARDS = 40
 ROW_BYTES = 16
+CENTROIDS, ROUNDS, COMPONENTS = 40, 5, 64
 CONTROL_CONVERSATION = -7
 CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
@@ -83,6 +86,21 @@ def op10_pfair_mix(spark, sf_dir):
     return pfair_mix.mixed(docs, pfair_mix.target_weights(docs))
 
 
+def op11_rans_files(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    path = public_tokenizers.path(rans_files.TOKENIZER_FILE)
+    return rans_files.read_checks(spark, rans_files.written(table(spark, sf_dir, "documents"), path, folder))
+
+
+def op12_token_align(spark, sf_dir):
+    return token_align.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path(token_align.BYTE_FILE),
+                                 public_tokenizers.path(token_align.PIECE_FILE))
+
+
+def op13_rotated_kmeans(spark, sf_dir):
+    return rotated_kmeans.clustered(table(spark, sf_dir, "embeddings"), CENTROIDS, ROUNDS, COMPONENTS)
+
+
 def queries():
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -96,6 +114,9 @@ def queries():
         "op8_chat_format": op8_chat_format,
         "op9_pattern_packing": op9_pattern_packing,
         "op10_pfair_mix": op10_pfair_mix,
+        "op11_rans_files": op11_rans_files,
+        "op12_token_align": op12_token_align,
+        "op13_rotated_kmeans": op13_rotated_kmeans,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -103,7 +124,40 @@ def queries():
 def oracle_sql():
     """SQL for the results that DuckDB can compute on whole tables."""
     return {"op2_host_rules": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op4_pivot_search": OP4_SQL,
-            "op5_backoff_lm": OP5_SQL}
+            "op5_backoff_lm": OP5_SQL, "op13_rotated_kmeans": op13_sql()}
+
+
+def op13_sql():
+    """One pair of common tables a round: the nearest centroid of every vector, and the centroids that follow."""
+    rounds = "".join(f"""
+), a{i} AS MATERIALIZED (
+    SELECT vec_id, cluster, distance FROM (
+        SELECT v.vec_id, c.cluster, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))
+                   AS BIGINT) AS distance
+        FROM v CROSS JOIN c{i} c)
+    QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1
+), c{i + 1} AS MATERIALIZED (
+    SELECT c.cluster, coalesce(m.x, c.x) AS x
+    FROM c{i} c LEFT JOIN (
+        SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY d) AS x
+        FROM (SELECT cluster, d, sum(x[d]) AS s, count(*) AS n
+              FROM a{i} JOIN v USING (vec_id), range(1, {COMPONENTS + 1}) r(d) GROUP BY cluster, d)
+        GROUP BY cluster) m USING (cluster)""" for i in range(ROUNDS + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, x
+    FROM v QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= {CENTROIDS}{rounds}
+)
+SELECT vec_id, CAST(a.cluster AS INTEGER) AS cluster, distance,
+       CAST(sum(distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{ROUNDS} a JOIN c{ROUNDS} c USING (cluster)
+"""
 
 
 OP4_SQL = """

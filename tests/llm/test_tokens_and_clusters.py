@@ -1,0 +1,280 @@
+"""Binary token files, token alignment and exact clustering against brute force, and their edge cases."""
+
+import collections
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import public_tokenizers
+from depotlens.llm import queries, rans_files, rotated_kmeans, token_align, token_chunks
+from depotlens.llm.common import stored, table
+
+BYTE, WORD, PIECE = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+SIGNS = [" ", "  ", "\n", "\n\n", "\t", "a", "B", "s", "'", "'s", "é", ",", ".", "1", "23", "<|endoftext|>", " ", "　",
+         "ñ", "中", "́", "<", "\x1c", "\x0b", "_", "▁", "ж", "\U0001f600", "\r\n", "\x00", "<s>", "<0x41>", "ﬁ", "​",
+         "\x85", "word", "▁▁"]
+
+
+@pytest.fixture(scope="module")
+def odd_texts():
+    rng = random.Random(3)
+    made = ["".join(rng.choices(SIGNS, k=rng.randint(0, 25))) for _ in range(3000)]
+    return made + ["", None, "   ", " ", "x" * 30_000, "é—\U0001f600 " * 3_000, "a" + " " * 5000 + "b"]
+
+
+@pytest.fixture
+def odd(spark, odd_texts):
+    rows = [(i, t) for i, t in enumerate(odd_texts)] + [(7, "again"), (7, "again"), (None, "no id"), (None, None)]
+    return spark.createDataFrame(rows, "doc_id bigint, text string").withColumns(
+        {c: F.lit("own") for c in ("_row", "_tie", "_salt", "ids", "file", "pair", "times", "n", "best")})
+
+
+def library(path, plain=False):
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = plain
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_have_the_ids_of_whole_texts(odd_texts, small):
+    texts = pa.array(odd_texts + pd.read_parquet(f"{small}/documents.parquet").text.tolist())
+    for path, plain, cuts in ((BYTE, False, token_chunks.byte_level), (BYTE, True, token_chunks.before_spaces),
+                              (WORD, False, token_chunks.words_and_spaces)):
+        encoder, whole = token_chunks.library_encoder(path, plain)
+        want = library(path, plain)
+        got = [k.ids[a:b].tolist() for k in encoder.tokens(texts, cuts, whole, slice_bytes=20_000)
+               for a, b in zip(k.bounds, k.bounds[1:])]
+        assert got == [want(t or "") for t in texts.to_pylist()]
+
+
+def test_kept_chunks_are_dropped_when_there_are_too_many():
+    encoder = token_chunks.ChunkEncoder(lambda chunks: [list(c) for c in chunks], most_bytes=500)
+    texts = pa.array([f"w{i} w{i % 3} again" for i in range(200)])
+    got = [bytes(k.ids[a:b].tolist()) for k in encoder.tokens(texts, token_chunks.before_spaces, slice_bytes=100)
+           for a, b in zip(k.bounds, k.bounds[1:])]
+    assert got == [t.encode() for t in texts.to_pylist()]
+    assert len(encoder.known) < 50
+
+
+# op11 -----------------------------------------------------------------------------------------------
+
+def wanted_checks(rows, end_id=2):
+    """Rows as (doc_id, text) in ascending order."""
+    encode, start = library(BYTE), 0
+    for doc, text in rows:
+        ids = np.array(encode(text or "") + [end_id], "<u4")
+        yield doc, start, len(ids), zlib.crc32(ids.tobytes())
+        start += len(ids)
+
+
+def test_op11_matches_brute_force(spark, small):
+    docs = pd.read_parquet(f"{small}/documents.parquet").sort_values("doc_id")
+    got = sorted(tuple(r) for r in queries.op11_rans_files(spark, small).collect())
+    assert got == list(wanted_checks(zip(docs.doc_id, docs.text)))
+
+
+def test_files_of_odd_rows(spark, odd, odd_texts, tmp_path):
+    tokens = stored(rans_files.encoded_texts(odd, BYTE), "odd-ids")
+    rans_files.write_ids(tokens, str(tmp_path / "ids"), block_tokens=2048)
+    got = rans_files.read_checks(spark, str(tmp_path / "ids")).collect()
+    rows = [(i, t) for i, t in enumerate(odd_texts)] + [(7, "again"), (7, "again"), (None, "no id"), (None, None)]
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == collections.Counter(
+        (d, n, c) for d, _, n, c in wanted_checks(rows))
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in ordered] == [0, *np.cumsum([r.n_tokens for r in ordered])[:-1]]
+    ids = [r.doc_id for r in ordered]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
+    # single documents are read from the parts of the blocks that hold them
+    wanted = spark.createDataFrame([(3,), (len(odd_texts) - 3,), (-5,)], "doc_id bigint")
+    parts = sorted(rans_files.read_parts(spark, str(tmp_path / "ids"), wanted).collect(), key=lambda r: (r.doc_id, r.part))
+    encode = library(BYTE)
+    for doc in (3, len(odd_texts) - 3):
+        assert [i for r in parts if r.doc_id == doc for i in r.ids] == encode(odd_texts[doc]) + [2]
+    assert {r.doc_id for r in parts} == {3, len(odd_texts) - 3}
+
+
+def test_files_of_nothing(spark, odd, tmp_path):
+    tokens = stored(rans_files.encoded_texts(odd.limit(0), BYTE), "no-ids")
+    rans_files.write_ids(tokens, str(tmp_path / "ids"))
+    assert rans_files.read_checks(spark, str(tmp_path / "ids")).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 40_000])
+def test_blocks_round_trip_from_any_checkpoint(n):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.zipf(1.2, n), 50_000).astype(np.uint32)
+    known, counts = np.unique(ids, return_counts=True)
+    coding = rans_files.Coding(known, rans_files.fitted_frequencies(counts))
+    slots = coding.slots()
+    payload = rans_files.encode(ids, coding, checkpoint_tokens=2048)
+    assert (rans_files.decode(payload, coding, slots, checkpoint_tokens=2048) == ids).all()
+    for first, last in ((0, 3), (n // 2, n // 2 + 700), (max(0, n - 5), n), (n, n + 1)):
+        assert (rans_files.decode(payload, coding, slots, first, last, checkpoint_tokens=2048) == ids[first:last]).all()
+    if n == 40_000:
+        entropy = -(counts / n * np.log2(counts / n)).sum() * n / 8
+        assert len(payload) < 1.01 * entropy + 20 * (4 + 8 * 256) + 100
+    for at in (5, len(payload) // 2, len(payload) - 1):
+        with pytest.raises(ValueError):
+            rans_files.decode(payload[:at] + bytes([payload[at] ^ 1]) + payload[at + 1:], coding, slots)
+
+
+def test_frequencies_add_up():
+    rng = np.random.default_rng(0)
+    for counts in (np.array([1]), np.ones(1000, int), np.array([10**15] + [1] * 5000), rng.zipf(1.1, 50_000)):
+        found = rans_files.fitted_frequencies(counts)
+        assert found.sum() == 1 << 20 and found.min() >= 1
+    with pytest.raises(ValueError):
+        rans_files.fitted_frequencies(np.ones(9, int), bits=3)
+
+
+def test_joined_checksums():
+    a, b = b"hello" * 77, bytes(range(256)) * 9
+    assert rans_files.crc_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    assert rans_files.crc_joined(zlib.crc32(a), 0, 0) == zlib.crc32(a)
+
+
+# op12 -----------------------------------------------------------------------------------------------
+
+def brute_alignment(rows):
+    tokenizer = Tokenizer.from_file(BYTE)
+    tokenizer.encode_special_tokens = True
+    processor = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    letters, vocabulary = token_chunks.byte_letters(), {i: t for t, i in tokenizer.get_vocab().items()}
+
+    def spelt_b(i):
+        piece = processor.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if processor.is_byte(i) else piece.replace("▁", " ").encode()
+
+    found, counts = [], collections.Counter()
+    for doc, text in rows:
+        whole = (" " + (text or "")).encode()
+        a = [(i, bytes(letters[c] for c in vocabulary[i])) for i in tokenizer.encode(" " + (text or ""), add_special_tokens=False).ids]
+        b = [(i, spelt_b(i)) for i in processor.encode(text or "")]
+        if not text or b"".join(x for _, x in a) != whole or b"".join(x for _, x in b) != whole:
+            found.append((doc, [], [], [], ""))
+            continue
+        ends = [np.cumsum([len(x) for _, x in side]).tolist() for side in (a, b)]
+        links, j = [], 0
+        for i, end in enumerate(ends[0]):
+            start = end - len(a[i][1])
+            while ends[1][j] <= start:
+                j += 1
+            k = j
+            while k < len(b) and ends[1][k] - len(b[k][1]) < end:
+                links.append((a[i][0], b[k][0]))
+                k += 1
+        common = sorted(set(ends[0]) & set(ends[1]))
+        groups, at = [], [0, 0]
+        for end in common:
+            parts = []
+            for s, side in enumerate((a, b)):
+                upto = ends[s].index(end, at[s]) + 1
+                parts.append(",".join(str(i) for i, _ in side[at[s]:upto]))
+                at[s] = upto
+            groups.append("|".join(parts))
+        counts.update(links)
+        found.append((doc, a, b, links, hashlib.sha256(";".join(groups).encode()).hexdigest(), len(groups)))
+    best = collections.Counter()
+    for (_, b), n in counts.items():
+        best[b] = max(best[b], n)
+    return [(r[0], len(r[1]), len(r[2]), r[5] if r[1] else 0, len(r[3]), sum(counts[x] == best[x[1]] for x in r[3]),
+             sum(counts[x] for x in r[3]), r[4]) for r in found]
+
+
+def test_op12_matches_brute_force(spark, small):
+    docs = pd.read_parquet(f"{small}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op12_token_align(spark, small).collect())
+    assert got == sorted(brute_alignment(zip(docs.doc_id, docs.text)))
+
+
+@pytest.mark.parametrize("hot", [0, 50, 1 << 17])
+def test_alignment_of_odd_rows(spark, odd, odd_texts, hot):
+    rows = [(i, t) for i, t in enumerate(odd_texts)] + [(7, "again"), (7, "again"), (None, "no id"), (None, None)]
+    got = token_align.alignment(odd, BYTE, PIECE, hot_pairs=hot).collect()
+    assert collections.Counter(tuple(r) for r in got) == collections.Counter(brute_alignment(rows))
+    assert any(r.n_a == 0 and r.doc_id is not None for r in got)
+
+
+def test_long_texts_are_merged_in_stretches():
+    text = pa.array(["one two, three. " * 500, None, "unbelievable " * 300])
+    a, b = token_chunks.library_encoder(BYTE, True)[0], token_chunks.piece_encoder(PIECE)
+    sides = []
+    spaced = pa.array([" " + (t or "") for t in text.to_pylist()])
+    at = np.append(0, np.cumsum([len(t) for t in spaced.to_pylist()]))
+    for encoder in (a, b):
+        tokens = next(encoder.tokens(spaced, token_chunks.before_spaces))
+        sizes = np.array([len(x) for x in encoder.bytes_of])
+        sides.append(token_align._side(tokens, sizes, np.diff(at) > 1, at))
+    ends = np.intersect1d(sides[0].end, sides[1].end)
+    one, many = (set(zip(*map(np.ndarray.tolist, token_align.overlaps(*sides, ends, most=m)))) for m in (10**6, 7))
+    assert one == many and len(one) >= max(len(sides[0].id), len(sides[1].id))
+
+
+def test_alignment_of_nothing(odd):
+    assert token_align.alignment(odd.limit(0), BYTE, PIECE).count() == 0
+
+
+# op13 -----------------------------------------------------------------------------------------------
+
+def brute_clusters(rows, k, rounds, scale=256):
+    x = {i: [math.floor(scale * float(v)) for v in vector] for i, vector in rows}
+    names = sorted(x, key=lambda i: hashlib.sha256(f"2:{i}".encode()).hexdigest())
+    centroids = [x[i] for i in names[:k]]
+
+    def assigned():
+        return {i: min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(centroids)) for i, v in x.items()}
+
+    for _ in range(rounds):
+        own = collections.defaultdict(list)
+        for i, (_, n) in assigned().items():
+            own[n].append(x[i])
+        centroids = [[sum(col) // len(own[n]) for col in zip(*own[n])] if own[n] else c for n, c in enumerate(centroids)]
+    final = assigned()
+    inertia = collections.Counter()
+    for d, n in final.values():
+        inertia[n] += d
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return sorted((i, n, d, inertia[n], sum(inertia.values()), digests[n]) for i, (d, n) in final.items())
+
+
+def test_op13_matches_brute_force(spark, small):
+    vectors = pd.read_parquet(f"{small}/embeddings.parquet")
+    got = sorted(tuple(r) for r in queries.op13_rotated_kmeans(spark, small).collect())
+    assert got == brute_clusters(zip(vectors.vec_id, vectors.embedding), 40, 5)
+
+
+def test_clusters_of_odd_vectors(spark):
+    rng = np.random.default_rng(2)
+    good = [(i, [float(v) for v in rng.integers(-3, 3, 4) / 256]) for i in range(60)]  # many ties
+    good += [(100 + i, [-1.5 - 1e-9, 0.0, 1e6, -1e6]) for i in range(30)]  # a third are copies, far out
+    bad = [(200, None), (201, [1.0, 2.0]), (202, [float("nan")] * 4), (203, [float("inf"), 0.0, 0.0, 0.0]),
+           (204, [None, 0.0, 0.0, 0.0]), (205, [])]
+    df = spark.createDataFrame(good + bad, "vec_id bigint, embedding array<double>").withColumns(
+        {c: F.lit("own") for c in ("vector", "lead", "rest", "cluster", "distance", "at")})
+    for k in (1, 7, 80):
+        got = sorted(tuple(r) for r in rotated_kmeans.clustered(df, k, 3, 4, leading=2).collect())
+        assert got == brute_clusters(good, k, 3)
+    assert rotated_kmeans.clustered(df.limit(0), 5, 2, 4).count() == 0
+    huge = spark.createDataFrame([(1, [1e300, 0.0, 0.0, 0.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="lies beyond"):
+        rotated_kmeans.clustered(huge, 1, 1, 4).count()
+
+
+def test_bounds_rule_out_most_centroids(spark, small):
+    whole = rotated_kmeans.integer_vectors(table(spark, small, "embeddings"), 64)
+    rotation = rotated_kmeans.Rotation(*rotated_kmeans.principal_axes(whole, 64), rotated_kmeans.LEADING)
+    rows = rotated_kmeans.rotated(whole, rotation).collect()
+    x, lead, rest = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    centroids = rotated_kmeans.first_centroids(whole, 40)
+    cluster, distance, verified = rotated_kmeans.nearest(x, lead, rest, centroids, rotation)
+    exact = ((x[:, None] - centroids) ** 2).sum(2)
+    assert (exact.argmin(1) == cluster).all() and (exact.min(1) == distance).all()
+    assert verified < 0.7 * exact.size
