@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from depotlens.llm.common import stored
 
 SCALE = 256
-LEADING = 16
+LEADING_SHARE = 0.75  # of the coordinates; nearly round clouds of vectors need so many to rule anything out
 BLOCK_ROWS = 4096
-VECTORS = "vec_id bigint, vector array<bigint>, lead array<double>, rest double"
+MARGIN = 1e-6  # of the squared lengths; 32-bit coordinates are off by less
+VECTORS = "vec_id bigint, vector array<bigint>, lead array<float>, rest float"
 
 
 def integer_vectors(table: DataFrame, size: int, scale: int = SCALE) -> DataFrame:
@@ -100,7 +101,8 @@ def rotated(vectors: DataFrame, rotation: Rotation) -> DataFrame:
             at = np.arange(batch.num_rows + 1) * rotation.leading
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), batch.column("vector"),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(lead.ravel())), pa.array(rest)],
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(lead.ravel(), pa.float32())),
+                 pa.array(rest, pa.float32())],
                 ["vec_id", "vector", "lead", "rest"])
 
     return vectors.mapInArrow(turn, VECTORS)
@@ -109,11 +111,12 @@ def rotated(vectors: DataFrame, rotation: Rotation) -> DataFrame:
 def nearest(x: np.ndarray, lead: np.ndarray, rest: np.ndarray, centroids: np.ndarray, rotation: Rotation
             ) -> tuple[np.ndarray, np.ndarray, int]:
     """Cluster and squared distance of every vector, ties to the smaller number, and how many pairs were verified."""
+    lead, rest = lead.astype(float), rest.astype(float)
     c_lead, c_rest = rotation.of(centroids.astype(float))
     bound = ((lead ** 2).sum(1)[:, None] + (c_lead ** 2).sum(1) - 2 * lead @ c_lead.T + (rest[:, None] - c_rest) ** 2)
     # rounding errors are relative to the squared lengths that went in
     largest = (lead ** 2).sum(1) + rest ** 2
-    bound -= 1e-9 * (largest[:, None] + (c_lead ** 2).sum(1) + c_rest ** 2 + (rotation.mean ** 2).sum() + 1)
+    bound -= MARGIN * (largest[:, None] + (c_lead ** 2).sum(1) + c_rest ** 2 + (rotation.mean ** 2).sum() + 1)
 
     def exact(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
         gap = x[rows] - centroids[of]
@@ -171,14 +174,15 @@ def first_centroids(vectors: DataFrame, k: int) -> np.ndarray:
     return np.array([r.vector for r in vectors.orderBy(F.asc_nulls_last(key), "vector").limit(k).collect()], np.int64)
 
 
-def clustered(table: DataFrame, k: int, rounds: int, size: int, scale: int = SCALE, leading: int = LEADING) -> DataFrame:
+def clustered(table: DataFrame, k: int, rounds: int, size: int, scale: int = SCALE,
+              leading: int | None = None) -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256) of every vector that takes part.
 
     With fewer than ``k`` vectors there are as many centroids; without any the result is empty. Repeated vec_ids are
     rows of their own. Distances beyond 64 bits in sum raise an error.
     """
     whole = stored(integer_vectors(table, size, scale), "vectors")
-    rotation = Rotation(*principal_axes(whole, size), min(leading, size))
+    rotation = Rotation(*principal_axes(whole, size), leading or round(LEADING_SHARE * size))
     vectors = stored(rotated(whole, rotation), "rotated")
     centroids = first_centroids(whole, k).reshape(-1, size)
     for _ in range(rounds if len(centroids) else 0):

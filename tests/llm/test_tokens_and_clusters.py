@@ -270,11 +270,11 @@ def test_clusters_of_odd_vectors(spark):
 
 def test_bounds_rule_out_most_centroids(spark, small):
     whole = rotated_kmeans.integer_vectors(table(spark, small, "embeddings"), 64)
-    rotation = rotated_kmeans.Rotation(*rotated_kmeans.principal_axes(whole, 64), rotated_kmeans.LEADING)
+    rotation = rotated_kmeans.Rotation(*rotated_kmeans.principal_axes(whole, 64), 48)
     rows = rotated_kmeans.rotated(whole, rotation).collect()
     x, lead, rest = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
     centroids = rotated_kmeans.first_centroids(whole, 40)
     cluster, distance, verified = rotated_kmeans.nearest(x, lead, rest, centroids, rotation)
     exact = ((x[:, None] - centroids) ** 2).sum(2)
     assert (exact.argmin(1) == cluster).all() and (exact.min(1) == distance).all()
-    assert verified < 0.7 * exact.size
+    assert verified < 0.6 * exact.size
