@@ -162,14 +162,18 @@ def decode(payload: bytes, coding: Coding, slots: np.ndarray, first: int = 0, la
 
 
 def encoded_texts(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every row: the ids of its text and ``end_id``, 32 bits each; NULL is an empty text."""
+    """(doc_id, n_tokens, ids) of every row: the ids of its text and ``end_id``; NULL is an empty text.
+
+    Ids take 16 bits each where all of the vocabulary fit, else 32.
+    """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, specials = library_encoder(tokenizer_path)
         for batch in batches:
             for tokens in encoder.tokens(batch.column("text"), byte_level, specials):
                 ids, bounds = closed(tokens, end_id)
+                kind = _kind(max(encoder.most_id, end_id))
                 raw = pa.Array.from_buffers(pa.large_binary(), tokens.rows, [
-                    None, pa.py_buffer((4 * bounds).astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
+                    None, pa.py_buffer(kind.itemsize * bounds), pa.py_buffer(ids.astype(kind))])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(tokens.first, tokens.rows), pa.array(np.diff(bounds), pa.int32()),
                      raw.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -177,16 +181,25 @@ def encoded_texts(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(read, TOKENS)
 
 
+def _kind(most_id: int) -> np.dtype:
+    return np.dtype("<u2" if most_id < 1 << 16 else "<u4")
+
+
+def _unpacked(raw: pa.Scalar, n: int) -> np.ndarray:
+    buffer = raw.as_buffer()
+    return np.frombuffer(buffer, "<u2" if buffer.size == 2 * n else "<u4")
+
+
 def id_counts(tokens: DataFrame) -> DataFrame:
     """(id, n) over all documents; every batch is counted before it is shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.bincount(np.concatenate([np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
-                                               or [np.zeros(0, np.uint32)]))
+            rows = zip(batch.column("ids"), batch.column("n_tokens").to_pylist())
+            found = np.bincount(np.concatenate([_unpacked(x, n) for x, n in rows] or [np.zeros(0, np.uint16)]))
             ids = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found[ids])], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids", "n_tokens").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _blocks(rows: DataFrame, ids: np.ndarray, frequency: np.ndarray, block_tokens: int) -> DataFrame:
@@ -206,8 +219,9 @@ def _blocks(rows: DataFrame, ids: np.ndarray, frequency: np.ndarray, block_token
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for batch in batches:
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                own = np.frombuffer(raw.as_buffer(), "<u4")
+            for doc, n, raw in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(),
+                                   batch.column("ids")):
+                own = _unpacked(raw, n)
                 part = 0
                 while part < len(own):
                     piece = own[part:part + block_tokens - held]
@@ -221,11 +235,11 @@ def _blocks(rows: DataFrame, ids: np.ndarray, frequency: np.ndarray, block_token
         if held:
             yield made()
 
-    return rows.select("doc_id", "ids").mapInArrow(pack, BLOCKS)
+    return rows.select("doc_id", "n_tokens", "ids").mapInArrow(pack, BLOCKS)
 
 
 def write_ids(tokens: DataFrame, folder: str, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Write rows of (doc_id, ids) to ``folder`` in ascending doc_id order.
+    """Write rows of (doc_id, n_tokens, ids) to ``folder`` in ascending doc_id order.
 
     ``tokens`` is read several times and should be a stored table. The count of ids, at most one number per id of the
     vocabulary, is gathered; all else stays with the tasks. Rows with equal doc_id are told apart by a hash of their

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from depotlens.llm.common import stored
-from depotlens.llm.token_chunks import ChunkEncoder, Tokens, before_spaces, library_encoder, piece_encoder
+from depotlens.llm.token_chunks import ChunkEncoder, Tokens, before_spaces, byte_level, library_encoder, piece_encoder
 from depotlens.llm.words import column_bytes
 
 BYTE_FILE = "byte_bpe_50k.json"
@@ -101,7 +101,7 @@ def _aligned_rows(column: pa.Array, a: ChunkEncoder, b: ChunkEncoder) -> Iterato
     decimals = pa.array([f"{i}{mark}" for mark in ",|;" for i in range(most)], pa.large_string())
     spaced = pc.binary_join_element_wise(" ", column.fill_null(""), "").cast(pa.large_string())
     data, offsets = column_bytes(spaced)
-    sides = [side.tokens(spaced, before_spaces, slice_bytes=SLICE_BYTES) for side in (a, b)]
+    sides = [side.tokens(spaced, cuts, slice_bytes=SLICE_BYTES) for side, cuts in ((a, byte_level), (b, before_spaces))]
     for in_a, in_b in zip(*sides):
         rows, first = in_a.rows, in_a.first
         at = offsets[first:first + rows + 1] - offsets[first]

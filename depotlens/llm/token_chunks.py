@@ -8,6 +8,7 @@ text by itself.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
@@ -20,7 +21,11 @@ import pyarrow.compute as pc
 from depotlens.llm.words import column_bytes
 
 SLICE_BYTES = 4 << 20
-MOST_KEPT_BYTES = 64 << 20
+MOST_KEPT_BYTES = 96 << 20
+JOINED_CHUNKS = 1000
+SEPARATORS = ("\n", " ¤ ")
+# ASCII without white space, and U+00C0 to U+00FF; a space may come first
+_PLAIN = re.compile(rb" ?(?:[!-~]|\xc3[\x80-\xbf])+")
 
 
 def _table(values) -> np.ndarray:
@@ -32,36 +37,72 @@ def _table(values) -> np.ndarray:
 # white space that every regular expression engine takes for such
 _BLANK = _table([0x20, 0x09, 0x0A, 0x0D])
 _ASCII_SPACE = _table([0x20, *range(0x09, 0x0E)])
-_LETTER = _table([*range(65, 91), *range(97, 123)])
-_PUNCTUATION = _table([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 # bytes that end, or begin, no white space character of any script
 _ENDS_NO_SPACE = ~_table([*range(0x21), *range(0x80, 0x90), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF])
 _BEGINS_NO_SPACE = ~_table([*range(0x21), 0xC2, 0xE1, 0xE2, 0xE3])
 
+_LETTER, _DIGIT, _MARK = 1, 2, 3
+_CLASSES = np.zeros(256, np.uint8)
+_CLASSES[[*range(65, 91), *range(97, 123)]] = _LETTER
+_CLASSES[48:58] = _DIGIT
+_CLASSES[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = _MARK
+
+
+def _classes(data: np.ndarray) -> np.ndarray:
+    """Letters, digits and marks of ASCII, and the accented letters U+00C0 to U+00FF; 0 is anything else."""
+    kind = _CLASSES[data]
+    lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kind[lead] = kind[lead + 1] = _LETTER
+    return kind
+
+
+def _between_classes(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Whether pieces end before each byte but the first because its class is another one. What follows an apostrophe
+    may belong to it."""
+    return (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0) & (data[:-1] != 0x27)
+
 
 def before_spaces(data: np.ndarray) -> np.ndarray:
     """Cuts before runs of white space that begin with a space: pieces hold spaces at their beginning only."""
     cut = np.zeros(len(data), bool)
-    cut[1:] = (data[1:] == 0x20) & _ENDS_NO_SPACE[data[:-1]]
+    cut[1:] = (data[1:] == 0x20) & (_ENDS_NO_SPACE[data[:-1]] | (_classes(data)[:-1] > 0))
     return cut
 
 
 def byte_level(data: np.ndarray) -> np.ndarray:
-    """Cuts for byte-level vocabularies: before white space, after a single line feed, between letters and marks."""
-    cut = np.zeros(len(data), bool)
-    cut[1:] = (_BLANK[data[1:]] & _ENDS_NO_SPACE[data[:-1]]) | (_LETTER[data[:-1]] & _PUNCTUATION[data[1:]])
-    cut[2:] |= (data[1:-1] == 0x0A) & _ENDS_NO_SPACE[data[:-2]] & _BEGINS_NO_SPACE[data[2:]]
+    """Cuts for byte-level vocabularies: before white space, after a single line feed, between letters, digits, marks."""
+    kind, cut = _classes(data), np.zeros(len(data), bool)
+    ends = _ENDS_NO_SPACE[data] | (kind > 0)
+    cut[1:] = (_BLANK[data[1:]] & ends[:-1]) | _between_classes(data, kind)
+    cut[2:] |= (data[1:-1] == 0x0A) & ends[:-2] & _BEGINS_NO_SPACE[data[2:]]
     return cut
 
 
 def words_and_spaces(data: np.ndarray) -> np.ndarray:
-    """Cuts for vocabularies that drop white space: around it, and between letters and marks."""
-    cut = np.zeros(len(data), bool)
+    """Cuts for vocabularies that drop white space: around it, between letters, digits and marks, and between digits."""
+    kind, cut = _classes(data), np.zeros(len(data), bool)
     space = _ASCII_SPACE[data]
-    cut[1:] = (space[1:] != space[:-1]) | (_LETTER[data[:-1]] & _PUNCTUATION[data[1:]])
+    cut[1:] = (space[1:] != space[:-1]) | _between_classes(data, kind) | (
+        (kind[1:] == _DIGIT) & (kind[:-1] == _DIGIT))
     return cut
 
 
+def _size(chunks) -> int:
+    """Bytes that so many chunks take in a dictionary, as measured for words."""
+    return 200 * len(chunks)
+
+
+def _gathered(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches of ``ids`` that begin at ``first``, end to end."""
+    before = np.cumsum(count) - count
+    return ids[np.repeat(first - before, count) + np.arange(int(count.sum()))]
+
+
+def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    count = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for ids in lists for i in ids), np.uint32, int(count.sum())), count
+
+
 @dataclass
 class Tokens:
     """Ids of the rows ``first`` to ``first + rows - 1`` of a batch, and where each row's ids begin; rows + 1 numbers.
@@ -78,40 +119,52 @@ class Tokens:
 
 
 class ChunkEncoder:
-    """Ids per chunk of bytes, kept up to ``most_bytes`` of chunks.
+    """Ids per chunk of bytes, kept up to about ``most_bytes`` in memory; then those not met of late are dropped.
 
-    ``bytes_of`` lists what each id stands for; with it ``sound`` tells which chunks their ids spell out.
+    ``encode_many`` returns the ids of a list of chunks end to end and their number per chunk. ``bytes_of`` lists what
+    each id stands for; with it ``sound`` tells which chunks their ids spell out. ``most_id`` is the largest id there is.
     """
 
-    def __init__(self, encode_many: Callable[[list[bytes]], Sequence[Sequence[int]]], bytes_of: list[bytes] | None = None,
-                 most_bytes: int = MOST_KEPT_BYTES):
-        self._encode, self.bytes_of, self._most = encode_many, bytes_of, most_bytes
-        self._clear()
-
-    def _clear(self) -> None:
+    def __init__(self, encode_many: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
+                 bytes_of: list[bytes] | None = None, most_bytes: int = MOST_KEPT_BYTES, most_id: int = (1 << 32) - 1):
+        self._encode, self.bytes_of, self._most, self.most_id = encode_many, bytes_of, most_bytes, most_id
         self.known: dict[bytes, int] = {}
-        self._size = 0
         self.ids, self.first, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.sound = np.zeros(0, bool)
+        self.sound, self._met = np.zeros(0, bool), np.zeros(0, bool)
+
+    def _shrink(self) -> None:
+        """Keep the chunks met since the last time, or none if they are too many by themselves."""
+        chunks = [c for c, met in zip(self.known, self._met.tolist()) if met]
+        if _size(chunks) > self._most // 2:
+            chunks = []
+        own = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+        self.ids, count = _gathered(self.ids, self.first[own], self.count[own]), self.count[own]
+        self.first, self.count = np.cumsum(count) - count, count
+        self.sound = self.sound[own] if self.bytes_of is not None else self.sound
+        self.known = dict(zip(chunks, range(len(chunks))))
+        self._met = np.zeros(len(chunks), bool)
 
     def entries(self, chunks: list[bytes]) -> np.ndarray:
         """The numbers of the given chunks among those kept; valid until the next call."""
-        if self._size > self._most:
-            self._clear()
-        missing = [c for c in chunks if c not in self.known]
+        if _size(self.known) > self._most:
+            self._shrink()
+        known = self.known
+        missing = [c for c in chunks if c not in known]
         if missing:
-            lists = self._encode(missing)
-            count = np.fromiter(map(len, lists), np.int64, len(lists))
-            new = np.fromiter((i for ids in lists for i in ids), np.uint32, int(count.sum()))
+            new, count = self._encode(missing)
             self.first = np.append(self.first, len(self.ids) + np.cumsum(count) - count)
             self.count = np.append(self.count, count)
             self.ids = np.append(self.ids, new)
             if self.bytes_of is not None:
-                spelt = (b"".join([self.bytes_of[i] for i in ids]) == chunk for ids, chunk in zip(lists, missing))
-                self.sound = np.append(self.sound, np.fromiter(spelt, bool, len(lists)))
-            self.known.update(zip(missing, range(len(self.known), len(self.known) + len(missing))))
-            self._size += sum(map(len, missing)) + 100 * len(missing)
-        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+                spelt, ends = [self.bytes_of[i] for i in new.tolist()], np.cumsum(count)
+                self.sound = np.append(self.sound, np.fromiter(
+                    (b"".join(spelt[x:y]) == chunk for x, y, chunk in zip((ends - count).tolist(), ends.tolist(), missing)),
+                    bool, len(missing)))
+            known.update(zip(missing, range(len(known), len(known) + len(missing))))
+            self._met = np.append(self._met, np.zeros(len(missing), bool))
+        found = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+        self._met[found] = True
+        return found
 
     def tokens(self, column: pa.Array, cuts: Callable[[np.ndarray], np.ndarray], whole: Sequence[str] = (),
                slice_bytes: int = SLICE_BYTES) -> Iterator[Tokens]:
@@ -140,10 +193,8 @@ class ChunkEncoder:
             coded = raw.dictionary_encode()
             entry = self.entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
             count = self.count[entry]
-            ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.ids[np.repeat(self.first[entry] - ends + count, count) + np.arange(total)]
-            yield Tokens(first, last - first, ids, np.append(0, ends)[chunks], entry, chunks)
+            ids = _gathered(self.ids, self.first[entry], count)
+            yield Tokens(first, last - first, ids, np.append(0, np.cumsum(count))[chunks], entry, chunks)
             first = last
 
 
@@ -179,18 +230,41 @@ def library_encoder(path: str, plain_specials: bool = False) -> tuple[ChunkEncod
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = plain_specials
         added = tokenizer.get_added_tokens_decoder()
-
-        def encode_many(chunks: list[bytes]):
-            texts = [c.decode("utf-8", "replace") for c in chunks]
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
+        strings = [] if plain_specials else [t.content for t in added.values()]
+        # plain chunks are joined to long calls by something that stands apart and has one id
+        between = next((x for x in SEPARATORS if len(tokenizer.encode(x, add_special_tokens=False).ids) == 1), None)
+        mark = tokenizer.encode(between, add_special_tokens=False).ids[0] if between else -1
+
+        def encode_many(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            plain = [between is not None and _PLAIN.fullmatch(c) is not None for c in chunks]
+            for i in [i for i, c in enumerate(chunks) if plain[i] and b"<" in c]:
+                plain[i] = False  # part of a special string, perhaps
+            simple, others = [c for c, p in zip(chunks, plain) if p], [c for c, p in zip(chunks, plain) if not p]
+            found = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in others], add_special_tokens=False)
+            ids, count = _flat([e.ids for e in found])
+            parts, counts = [ids], [count]
+            for at in range(0, len(simple), JOINED_CHUNKS):
+                text = "".join([c.decode() + between for c in simple[at:at + JOINED_CHUNKS]])
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(ids == mark)
+                keep = np.ones(len(ids), bool)
+                keep[ends] = False
+                parts.append(ids[keep])
+                counts.append(np.diff(ends, prepend=-1) - 1)
+            ids, count = np.concatenate(parts), np.concatenate(counts)
+            place = np.empty(len(chunks), np.int64)
+            plain = np.array(plain, bool)
+            place[~plain], place[plain] = np.arange(len(others)), np.arange(len(others), len(chunks))
+            return _gathered(ids, (np.cumsum(count) - count)[place], count[place]), count[place]
+
+        most = max(tokenizer.get_vocab().values())
         if not plain_specials:
-            return ChunkEncoder(encode_many), [t.content for t in added.values()]
+            return ChunkEncoder(encode_many, most_id=most), strings
         letters = byte_letters()
-        spelt = [b""] * (max(tokenizer.get_vocab().values()) + 1)
+        spelt = [b""] * (most + 1)
         for entry, i in tokenizer.get_vocab().items():
             spelt[i] = entry.encode() if i in added else bytes(letters[c] for c in entry)
-        return ChunkEncoder(encode_many, spelt), []
+        return ChunkEncoder(encode_many, spelt, most_id=most), []
 
     return _kept((path, plain_specials), make)
 
@@ -218,7 +292,7 @@ def piece_encoder(path: str) -> ChunkEncoder:
 
         def encode_many(chunks: list[bytes]):
             found = processor.encode([c[1:].decode("utf-8", "replace") for c in chunks], num_threads=1)
-            return [ids if len(chunk) > 1 else lone for chunk, ids in zip(chunks, found)]
+            return _flat([ids if len(chunk) > 1 else lone for chunk, ids in zip(chunks, found)])
 
         return ChunkEncoder(encode_many, spelt)
 

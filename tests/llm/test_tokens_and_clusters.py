@@ -56,7 +56,7 @@ def test_chunks_have_the_ids_of_whole_texts(odd_texts, small):
 
 
 def test_kept_chunks_are_dropped_when_there_are_too_many():
-    encoder = token_chunks.ChunkEncoder(lambda chunks: [list(c) for c in chunks], most_bytes=500)
+    encoder = token_chunks.ChunkEncoder(lambda chunks: token_chunks._flat([list(c) for c in chunks]), most_bytes=4000)
     texts = pa.array([f"w{i} w{i % 3} again" for i in range(200)])
     got = [bytes(k.ids[a:b].tolist()) for k in encoder.tokens(texts, token_chunks.before_spaces, slice_bytes=100)
            for a, b in zip(k.bounds, k.bounds[1:])]
