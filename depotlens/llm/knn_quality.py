@@ -105,8 +105,9 @@ def held_out(key: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_CLASS, dimensions: int = DIMENSIONS) -> Model:
     """Learn from at most ``sample_per_class`` labelled rows of each class, those with the smallest key hashes.
 
-    Held-out rows and rows without a 0/1 label are skipped; of several labels of a key the highest counts. The
-    sample is bounded, so it may be gathered and broadcast. Without labelled rows every score is 0.5.
+    Held-out rows and rows without a 0/1 label are skipped; of several labels of a key the highest counts, of several
+    texts the first in order. The sample is bounded, so it may be gathered and broadcast. Without labelled rows every
+    score is 0.5.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     keyed = usable.groupBy("doc_id").agg(F.max("quality").alias("label")).withColumn("_h", F.xxhash64("doc_id"))
@@ -116,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
     for label in (0, 1):
         part = keyed.where(F.col("label") == label).orderBy("_h", "doc_id").limit(sample_per_class)
         sample = part if sample is None else sample.unionByName(part)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id", "label")), "doc_id").groupBy(
+        "doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     got = texts.select("label", "text").mapInArrow(_feature_rows, "label int, features binary").toArrow()
     prior = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
     y = got.column("label").to_numpy().astype(np.float32)
@@ -159,19 +161,25 @@ def votes(model: Model, x: np.ndarray, neighbours: int = NEIGHBOURS, sharpness:
     return np.clip(out, 0, 1)
 
 
+def _broadcast(docs: DataFrame, model: Model):
+    """The model's arrays. A broadcast object of a class of this package could not be read where workers lack it."""
+    return docs.sparkSession.sparkContext.broadcast(
+        (model.weights, model.projection, model.vectors, model.labels, model.prior))
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id`` and ``score`` of every document, in one pass over the texts and without a shuffle.
 
     NULL and empty texts have a score too; repeated rows are scored like any others.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _broadcast(docs, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in words_of(batch.column("text"), fold_case=False):
                 rows = batch.slice(words.first, words.rows)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(votes(shared.value, features(words)), pa.float64())],
+                    [rows.column("doc_id"), pa.array(votes(Model(*shared.value), features(words)), pa.float64())],
                     ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(score, "doc_id bigint, score double")
@@ -182,12 +190,12 @@ def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFra
 
     The score is computed beside the row it belongs to, so nothing is joined or shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _broadcast(docs, model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words in words_of(batch.column("text"), fold_case=False):
-                passed = votes(shared.value, features(words)) >= threshold
+                passed = votes(Model(*shared.value), features(words)) >= threshold
                 yield batch.slice(words.first, words.rows).filter(pa.array(passed))
 
     return docs.mapInArrow(keep, docs.schema)
