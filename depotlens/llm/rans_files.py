@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,15 +34,16 @@ from pyspark.sql import functions as F
 
 from depotlens.llm.common import stored
 from depotlens.llm.token_chunks import byte_level, closed, library_encoder
+from depotlens.llm.words import column_bytes
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 2
 VERSION = 1
 MAGIC = b"RAN1"
-LANES = 256
+LANES = 1024
 BITS = 20
-BLOCK_TOKENS = 1 << 17
-CHECKPOINT_TOKENS = 1 << 15  # a multiple of the lanes
+BLOCK_TOKENS = 1 << 18
+CHECKPOINT_TOKENS = 1 << 17  # a multiple of the lanes
 _LOW = 31  # states lie in 2**31 to 2**63 - 1 between tokens
 _HEAD, _HEAD_SIZE = "<4sIIII", 20
 _U = np.uint64
@@ -68,8 +70,12 @@ class Coding:
         place[self.ids] = np.arange(len(self.ids))
         return place[ids]
 
-    def slots(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.ids), dtype=np.uint32), self.frequency.astype(np.int64))
+    def slots(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every slot its id, the id's frequency, and how far the slot lies into the id's share."""
+        times = self.frequency.astype(np.int64)
+        n = int(times.sum())
+        return (np.repeat(self.ids, times), np.repeat(self.frequency, times),
+                np.arange(n, dtype=_U) - np.repeat(self.before, times))
 
 
 def fitted_frequencies(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -98,17 +104,20 @@ def encode(ids: np.ndarray, coding: Coding, lanes: int = LANES, bits: int = BITS
     """The payload of a block."""
     number = coding.numbers(ids)
     f_all, before_all = coding.frequency[number], coding.before[number]
+    limit_all, rest_all = f_all << _U(63 - bits), _U(1 << bits) - f_all
     state = np.full(lanes, 1 << _LOW, _U)
     steps, every = -(-len(ids) // lanes), checkpoint_tokens // lanes
-    words, marks, shift = [], [], _U(63 - bits)
+    words, marks = [], []
     for step in reversed(range(steps)):
-        f, before = f_all[step * lanes:(step + 1) * lanes], before_all[step * lanes:(step + 1) * lanes]
+        now = slice(step * lanes, (step + 1) * lanes)
+        f = f_all[now]
         x = state[:len(f)]
-        full = x >= f << shift
-        words.append((x[full] & _U(0xFFFFFFFF)).astype("<u4"))
-        x = np.where(full, x >> _U(32), x)
-        q = x // f
-        state[:len(f)] = (q << _U(bits)) + (x - q * f) + before
+        full = np.flatnonzero(x >= limit_all[now])
+        out = x[full]
+        words.append(out)
+        x[full] = out >> _U(32)
+        # x // f * 2**bits + x % f + before
+        x += x // f * rest_all[now] + before_all[now]
         if step % every == 0:
             marks.append((len(words), state.copy()))
     sizes = np.cumsum([0] + [len(w) for w in reversed(words)])
@@ -117,13 +126,14 @@ def encode(ids: np.ndarray, coding: Coding, lanes: int = LANES, bits: int = BITS
     body = [struct.pack(_HEAD, MAGIC, len(ids), int(sizes[-1]), len(marks), zlib.crc32(ids.astype("<u4").tobytes()))]
     for done, states in marks:
         body += [struct.pack("<I", int(sizes[len(words) - done])), states.astype("<u8").tobytes()]
-    raw = b"".join(body + [w.tobytes() for w in words])
+    low = (np.concatenate(words) & _U(0xFFFFFFFF)).astype("<u4") if words else np.zeros(0, "<u4")
+    raw = b"".join([*body, low.tobytes()])
     return raw + struct.pack("<I", zlib.crc32(raw))
 
 
-def decode(payload: bytes, coding: Coding, slots: np.ndarray, first: int = 0, last: int | None = None, lanes: int = LANES,
-           bits: int = BITS, checkpoint_tokens: int = CHECKPOINT_TOKENS) -> np.ndarray:
-    """The ids ``first`` to ``last - 1`` of a block, read from the last checkpoint before them.
+def decode(payload: bytes, slots: tuple[np.ndarray, np.ndarray, np.ndarray], first: int = 0, last: int | None = None,
+           lanes: int = LANES, bits: int = BITS, checkpoint_tokens: int = CHECKPOINT_TOKENS) -> np.ndarray:
+    """The ids ``first`` to ``last - 1`` of a block, read from the last checkpoint before them; see ``Coding.slots``.
 
     A payload that does not have its checksum, and a whole block whose ids do not, raise ``ValueError``.
     """
@@ -142,20 +152,20 @@ def decode(payload: bytes, coding: Coding, slots: np.ndarray, first: int = 0, la
     state = np.frombuffer(raw[at + 4:at + width], "<u8").astype(_U)
     words = np.frombuffer(raw[_HEAD_SIZE + n_marks * width:-4], "<u4").astype(_U)
     begin = mark * checkpoint_tokens
-    out = np.zeros(last - begin, np.uint32)
+    out = np.zeros(-(-(last - begin) // lanes) * lanes, np.int64)
+    id_of, frequency, within = slots
     mask, low = _U((1 << bits) - 1), _U(1 << _LOW)
     for step in range(begin, last, lanes):
-        width_now = min(lanes, n - step)
-        x = state[:width_now]
-        slot = x & mask
-        number = slots[slot]
-        x = coding.frequency[number] * (x >> _U(bits)) + slot - coding.before[number]
+        x = state[:min(lanes, n - step)]
+        slot = (x & mask).astype(np.int64)
+        out[step - begin:step - begin + len(x)] = slot
+        x >>= _U(bits)
+        x *= frequency[slot]
+        x += within[slot]
         short = np.flatnonzero(x < low)
         x[short] = (x[short] << _U(32)) | words[position:position + len(short)]
         position += len(short)
-        state[:width_now] = x
-        out[step - begin:step - begin + lanes] = number[:len(out) - (step - begin)]
-    ids = coding.ids[out]
+    ids = id_of[out[:last - begin]]
     if first == 0 and last == n and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("a block is damaged: its ids differ from those written")
     return ids[first - begin:]
@@ -187,15 +197,20 @@ def _kind(most_id: int) -> np.dtype:
 
 def _unpacked(raw: pa.Scalar, n: int) -> np.ndarray:
     buffer = raw.as_buffer()
-    return np.frombuffer(buffer, "<u2" if buffer.size == 2 * n else "<u4")
+    return np.frombuffer(buffer, _width(buffer.size, n))
+
+
+def _width(size: int, n: int) -> str:
+    return "<u2" if size == 2 * n else "<u4"
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
     """(id, n) over all documents; every batch is counted before it is shuffled."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(batch.column("ids"), batch.column("n_tokens").to_pylist())
-            found = np.bincount(np.concatenate([_unpacked(x, n) for x, n in rows] or [np.zeros(0, np.uint16)]))
+            raw, offsets = column_bytes(batch.column("ids"))
+            kind = _width(offsets[-1] - offsets[0], pc.sum(batch.column("n_tokens")).as_py() or 0)
+            found = np.bincount(raw[offsets[0]:offsets[-1]].view(kind))
             ids = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(found[ids])], ["id", "n"])
 
@@ -302,13 +317,12 @@ def read_checks(spark: SparkSession, folder: str) -> DataFrame:
     ids, frequency = _coding(spark, folder)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coding = Coding(ids, frequency)
-        slots = coding.slots()
+        slots = Coding(ids, frequency).slots()
         for batch in batches:
             lengths = _numbers(batch.column("lengths"))
             crcs, at = [], 0
             for payload, own in zip(batch.column("payload"), batch.column("lengths")):
-                raw = memoryview(decode(payload.as_buffer(), coding, slots).astype("<u4")).cast("B")
+                raw = memoryview(decode(payload.as_buffer(), slots).astype("<u4")).cast("B")
                 n = len(own)
                 ends = 4 * np.cumsum(lengths[at:at + n])
                 crcs += [zlib.crc32(raw[a:b]) for a, b in zip((ends - 4 * lengths[at:at + n]).tolist(), ends.tolist())]
@@ -360,10 +374,9 @@ def read_parts(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame
     needed = blocks.select("file", "block", "payload").join(chosen, ["file", "block"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coding = Coding(ids, frequency)
-        slots = coding.slots()
+        slots = Coding(ids, frequency).slots()
         for batch in batches:
-            found = [decode(p.as_buffer(), coding, slots, at, at + n) for p, at, n in zip(
+            found = [decode(p.as_buffer(), slots, at, at + n) for p, at, n in zip(
                 batch.column("payload"), batch.column("offsets").to_pylist(), batch.column("lengths").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_ids"), batch.column("file"), batch.column("doc_starts"), batch.column("parts"),

@@ -30,6 +30,7 @@ PIECE_FILE = "piece_bpe_32k.model"
 HOT_PAIRS = 1 << 17
 SLICE_BYTES = 2 << 20
 MERGE_TOKENS = 500_000
+KEPT_BYTES = 64 << 20  # of chunks, on each side
 
 ALIGNED = ("doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
            "pairs array<bigint>, times array<bigint>")
@@ -143,7 +144,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     that are NULL, empty or not spelt out by the tokens of either side have no tokens, 0 everywhere and '' as digest.
     """
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = library_encoder(byte_path, plain_specials=True)[0], piece_encoder(piece_path)
+        a, b = library_encoder(byte_path, True, KEPT_BYTES)[0], piece_encoder(piece_path, KEPT_BYTES)
         for batch in batches:
             done = 0
             for found in _aligned_rows(batch.column("text"), a, b):

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from depotlens.llm.words import column_bytes
 
 SLICE_BYTES = 4 << 20
-MOST_KEPT_BYTES = 96 << 20
+MOST_KEPT_BYTES = 192 << 20
 JOINED_CHUNKS = 1000
 SEPARATORS = ("\n", " ¤ ")
 # ASCII without white space, and U+00C0 to U+00FF; a space may come first
@@ -217,7 +217,8 @@ def _kept(name, make):
     return kept[name]
 
 
-def library_encoder(path: str, plain_specials: bool = False) -> tuple[ChunkEncoder, list[str]]:
+def library_encoder(path: str, plain_specials: bool = False, most_bytes: int = MOST_KEPT_BYTES
+                    ) -> tuple[ChunkEncoder, list[str]]:
     """The encoder of a file of the tokenizers library, one per worker process, and its special strings.
 
     With ``plain_specials`` those strings are ordinary text, none is returned, and the encoder knows what the ids of a
@@ -259,14 +260,14 @@ def library_encoder(path: str, plain_specials: bool = False) -> tuple[ChunkEncod
 
         most = max(tokenizer.get_vocab().values())
         if not plain_specials:
-            return ChunkEncoder(encode_many, most_id=most), strings
+            return ChunkEncoder(encode_many, None, most_bytes, most), strings
         letters = byte_letters()
         spelt = [b""] * (most + 1)
         for entry, i in tokenizer.get_vocab().items():
             spelt[i] = entry.encode() if i in added else bytes(letters[c] for c in entry)
-        return ChunkEncoder(encode_many, spelt, most_id=most), []
+        return ChunkEncoder(encode_many, spelt, most_bytes, most), []
 
-    return _kept((path, plain_specials), make)
+    return _kept((path, plain_specials, most_bytes), make)
 
 
 def byte_letters() -> dict[str, int]:
@@ -277,7 +278,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def piece_encoder(path: str) -> ChunkEncoder:
+def piece_encoder(path: str, most_bytes: int = MOST_KEPT_BYTES) -> ChunkEncoder:
     """The encoder of a sentencepiece file that adds a space before texts; chunks begin with that space."""
     def make():
         import sentencepiece
@@ -294,6 +295,6 @@ def piece_encoder(path: str) -> ChunkEncoder:
             found = processor.encode([c[1:].decode("utf-8", "replace") for c in chunks], num_threads=1)
             return _flat([ids if len(chunk) > 1 else lone for chunk, ids in zip(chunks, found)])
 
-        return ChunkEncoder(encode_many, spelt)
+        return ChunkEncoder(encode_many, spelt, most_bytes)
 
-    return _kept(path, make)
+    return _kept((path, most_bytes), make)

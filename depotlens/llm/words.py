@@ -59,12 +59,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and row offsets of a string column; NULL counts as the empty text."""
+    """Bytes and row offsets of a string or binary column; NULL counts as the empty text."""
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(pa.scalar("").cast(column.type))
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -114,16 +114,16 @@ def test_blocks_round_trip_from_any_checkpoint(n):
     known, counts = np.unique(ids, return_counts=True)
     coding = rans_files.Coding(known, rans_files.fitted_frequencies(counts))
     slots = coding.slots()
-    payload = rans_files.encode(ids, coding, checkpoint_tokens=2048)
-    assert (rans_files.decode(payload, coding, slots, checkpoint_tokens=2048) == ids).all()
+    payload = rans_files.encode(ids, coding, lanes=256, checkpoint_tokens=2048)
+    assert (rans_files.decode(payload, slots, lanes=256, checkpoint_tokens=2048) == ids).all()
     for first, last in ((0, 3), (n // 2, n // 2 + 700), (max(0, n - 5), n), (n, n + 1)):
-        assert (rans_files.decode(payload, coding, slots, first, last, checkpoint_tokens=2048) == ids[first:last]).all()
+        assert (rans_files.decode(payload, slots, first, last, lanes=256, checkpoint_tokens=2048) == ids[first:last]).all()
     if n == 40_000:
         entropy = -(counts / n * np.log2(counts / n)).sum() * n / 8
         assert len(payload) < 1.01 * entropy + 20 * (4 + 8 * 256) + 100
     for at in (5, len(payload) // 2, len(payload) - 1):
         with pytest.raises(ValueError):
-            rans_files.decode(payload[:at] + bytes([payload[at] ^ 1]) + payload[at + 1:], coding, slots)
+            rans_files.decode(payload[:at] + bytes([payload[at] ^ 1]) + payload[at + 1:], slots, lanes=256, checkpoint_tokens=2048)
 
 
 def test_frequencies_add_up():
