@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALL_DATES: Literal["all"] = "all"
-Dates = Sequence[dt.date | str] | Literal["all"] | None
+# a choice is listed, or lies in the first column of a table
+Dates = Sequence[dt.date | str] | DataFrame | Literal["all"] | None
+Names = Sequence[str] | DataFrame | None
 Day = dt.date | str | None
 
 
@@ -55,8 +57,21 @@ def latest(df: DataFrame, column: str) -> Column:
     return df.agg(F.max(column)).scalar()
 
 
+def chosen_in(df: DataFrame, column: str, choices: DataFrame) -> DataFrame:
+    """Rows whose value is in the first column of ``choices``, a table of any size.
+
+    A semi join: a measured small table is broadcast, others are shuffled, and where ``column`` is one that the stored
+    table is partitioned by, only the directories of the chosen values are read.
+    """
+    wanted = choices.select(F.col(choices.columns[0]).cast(df.schema[column].dataType).alias(column)).distinct()
+    return df.join(wanted, column, "left_semi").select(*df.columns)
+
+
 def on_dates(df: DataFrame, column: str, dates: Dates) -> DataFrame:
-    """Rows of the chosen dates. Nothing chosen means the latest date of ``df``."""
+    """Rows of the chosen dates. Nothing chosen means the latest date of ``df``; an empty table of choices is a choice
+    of no date."""
+    if isinstance(dates, DataFrame):
+        return chosen_in(df, column, dates)
     if dates == ALL_DATES:
         return df.where(F.col(column).isNotNull())
     if not dates:
@@ -64,8 +79,10 @@ def on_dates(df: DataFrame, column: str, dates: Dates) -> DataFrame:
     return df.where(F.col(column).isin(date_literals(dates)))
 
 
-def named(df: DataFrame, column: str, names: Sequence[str] | None) -> DataFrame:
-    """Rows whose name is chosen; an empty choice does not filter."""
+def named(df: DataFrame, column: str, names: Names) -> DataFrame:
+    """Rows whose name is chosen; an empty list does not filter, an empty table leaves nothing."""
+    if isinstance(names, DataFrame):
+        return chosen_in(df, column, names)
     return df.where(F.col(column).isin(list(names))) if names else df
 
 

@@ -17,7 +17,11 @@ def sum_by_date(rows: DataFrame, column: str, sums: dict[str, Column], dates: Da
     over the data, one shuffle of partial sums and no join.
     """
     values = rows.select(column, *[value.cast("bigint").alias(name) for name, value in sums.items()])
-    if dates and dates != ALL_DATES:
+    if isinstance(dates, DataFrame):
+        asked = dates.select(F.col(dates.columns[0]).cast("date").alias(column)).where(F.col(column).isNotNull())
+        zeros = asked.select(column, *[F.lit(0).cast("bigint").alias(name) for name in sums])
+        values = values.unionByName(zeros)
+    elif dates and dates != ALL_DATES:
         days = F.array(*[F.lit(day) for day in date_literals(dates)])
         zeros = rows.sparkSession.range(1).select(
             F.explode(days).alias(column), *[F.lit(0).cast("bigint").alias(name) for name in sums])

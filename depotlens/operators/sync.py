@@ -20,17 +20,40 @@ from depotlens.sources.writer import write_table
 
 SUMMARY_SCHEMA = "table STRING, duplicates_removed BIGINT, added BIGINT, deleted BIGINT, status STRING"
 SYNCED, SKIPPED = "synced", "skipped"
+MOST_REPEATED_KEYS = 500_000
 
 
-def keep_first(df: DataFrame, key: Sequence[str], order_by: Sequence[Column] = ()) -> DataFrame:
+def _same_key(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
+    """NULL keys are one key here, as they are in a grouping."""
+    return reduce(Column.__and__, [left[c].eqNullSafe(right[f"_{c}"]) for c in key])
+
+
+def keep_first(df: DataFrame, key: Sequence[str], order_by: Sequence[Column] = (),
+               most_keys: int = MOST_REPEATED_KEYS) -> DataFrame:
     """One row per key: the first by ``order_by``, then by all columns ascending.
 
-    This is an aggregation and not a window, so copies of one key are already reduced on
-    the map side and never meet in one task.
+    Tables have few copies as a rule, so keys are counted first, by hash and without their rows. Rows whose key occurs
+    once go through as they are; only those of a repeated key are ordered, and copies of one key are reduced before they
+    meet in one task. The count is made when this is called. More than ``most_keys`` repeated keys are too many to send
+    to every task; then all rows are ordered.
     """
     rest = [c for c in df.columns if c not in key]
     if not rest and not order_by:
         return df.distinct()
+    repeated = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1").drop("_copies")
+    found = repeated.limit(most_keys + 1).count()
+    if found == 0:
+        return df
+    if found > most_keys:
+        return _first_rows(df, key, rest, order_by)
+    known = F.broadcast(repeated.toDF(*[f"_{c}" for c in key]))
+    single = df.join(known, _same_key(df, known, key), "left_anti")
+    copies = df.join(known, _same_key(df, known, key), "left_semi")
+    return single.unionByName(_first_rows(copies, key, rest, order_by))
+
+
+def _first_rows(df: DataFrame, key: Sequence[str], rest: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
+    """An aggregation and not a window: copies are reduced on the map side and never meet in one task."""
     ranks = [c.alias(f"_rank{i}") for i, c in enumerate(order_by)]
     first = df.groupBy(*key).agg(F.min(F.struct(*ranks, *rest)).alias("_first"))
     return first.select(*[F.col(c) if c in key else F.col(f"_first.{c}").alias(c) for c in df.columns])

@@ -22,6 +22,7 @@ from depotlens.functions.scalars import percent, percent_text
 from depotlens.operators.date_sums import date_bounds
 from depotlens.operators.expand import expand_rows
 from depotlens.operators.running_total import with_running_totals
+from depotlens.plans.sales_store import stored_sales
 from depotlens.sources.reader import Tables
 
 Grain = Literal["line", "product"]
@@ -33,23 +34,37 @@ CATEGORY_LIMITS = {"A": 20, "B": 50, "C": 100}
 WIDE = "decimal(38,0)"
 
 
-def product_sales(tables: Tables, start: Day = None, end: Day = None, grain: Grain = "line") -> DataFrame:
-    """(product_name, total_sales, row_count): sales per product name and the number of
-    report rows that stand for it.
+def _sales_by_code(tables: Tables, start: Day, end: Day, stored: str | None) -> DataFrame:
+    """(product_code, quantity, line_count) of a date range.
 
     Lines meet their orders in the only join of two facts and are added up per product
-    code right behind it; product names join those sums. Skewed orders are split by
-    adaptive execution.
+    code right behind it. Skewed orders are split by adaptive execution. With ``stored``,
+    the folder of stored daily sales, days are added up instead.
     """
-    if grain not in ("line", "product"):
-        raise ValueError(f"unknown grain {grain!r}")
+    if stored is not None:
+        days = stored_sales(tables["products"].sparkSession, stored, start, end)
+        return days.groupBy("product_code").agg(
+            F.sum("quantity").alias("quantity"), F.sum("line_count").alias("line_count"))
     orders = in_date_range(tables["orders"], "order_date", start, end).select("order_id")
-    by_code = (
+    return (
         tables["order_details"].select("order_id", "product_code", "quantity")
         .join(orders, "order_id")
         .groupBy("product_code")
         .agg(F.sum("quantity").alias("quantity"), F.count(F.lit(1)).alias("line_count"))
     )
+
+
+def product_sales(tables: Tables, start: Day = None, end: Day = None, grain: Grain = "line",
+                  stored: str | None = None) -> DataFrame:
+    """(product_name, total_sales, row_count): sales per product name and the number of
+    report rows that stand for it.
+
+    Product names join the sums per code. ``stored`` names the folder of sales kept by
+    :mod:`depotlens.plans.sales_store`; then only products are needed beside it.
+    """
+    if grain not in ("line", "product"):
+        raise ValueError(f"unknown grain {grain!r}")
+    by_code = _sales_by_code(tables, start, end, stored)
     by_name = (
         by_code.join(tables["products"].select("product_code", "product_name"), "product_code")
         .groupBy("product_name")
@@ -112,9 +127,10 @@ def _category(position: Column) -> Column:
     return picked
 
 
-def abc_report(tables: Tables, start: Day = None, end: Day = None, grain: Grain = "line") -> DataFrame:
+def abc_report(tables: Tables, start: Day = None, end: Day = None, grain: Grain = "line",
+               stored: str | None = None) -> DataFrame:
     """(product_name, total_sales, sales_pct, cumulative_pct, abc_category), largest first."""
-    ranked = ranked_products(product_sales(tables, start, end, grain)).withColumns({
+    ranked = ranked_products(product_sales(tables, start, end, grain, stored)).withColumns({
         "before": F.col("weight_before").cast("double"),
         "grand": F.col("grand_total").cast("double"),
     }).drop("weight_before", "grand_total")
@@ -148,17 +164,19 @@ def _category_counts(ranked: DataFrame) -> DataFrame:
     return ranked.agg(*counts, F.coalesce(F.max("grand_total"), F.lit(0)).cast(WIDE).alias("total_sales"))
 
 
-def abc_summary(tables: Tables, start: Day = None, end: Day = None, grain: Grain = "line") -> DataFrame:
+def abc_summary(tables: Tables, start: Day = None, end: Day = None, grain: Grain = "line",
+                stored: str | None = None) -> DataFrame:
     """(n_a, n_b, n_c, n_total, total_sales) over the report rows, without listing them."""
-    counts = _category_counts(ranked_products(product_sales(tables, start, end, grain)))
+    counts = _category_counts(ranked_products(product_sales(tables, start, end, grain, stored)))
     return counts.select("n_a", "n_b", "n_c", (F.col("n_a") + F.col("n_b") + F.col("n_c")).alias("n_total"),
                          "total_sales")
 
 
-def abc_distribution(tables: Tables, start: Day = None, end: Day = None, grain: Grain = "line") -> DataFrame:
+def abc_distribution(tables: Tables, start: Day = None, end: Day = None, grain: Grain = "line",
+                     stored: str | None = None) -> DataFrame:
     """(abc_category, pct): share of the report rows per category, largest first; all three
     categories appear."""
-    summary = abc_summary(tables, start, end, grain)
+    summary = abc_summary(tables, start, end, grain, stored)
     rows = F.array(*[
         F.struct(F.lit(label).alias("abc_category"),
                  percent(F.col(f"n_{label.lower()}"), F.col("n_total")).alias("pct"))
@@ -167,10 +185,10 @@ def abc_distribution(tables: Tables, start: Day = None, end: Day = None, grain:
     return summary.select(F.inline(rows)).orderBy(F.desc("pct"), "abc_category")
 
 
-def abc_top_product(tables: Tables, start: Day = None, end: Day = None) -> DataFrame:
+def abc_top_product(tables: Tables, start: Day = None, end: Day = None, stored: str | None = None) -> DataFrame:
     """(product_name, total_sales) of the best-selling product; needs no ranking."""
     return (
-        product_sales(tables, start, end)
+        product_sales(tables, start, end, stored=stored)
         .where(F.col("total_sales").isNotNull())
         .select("product_name", "total_sales")
         .orderBy(F.desc("total_sales"), "product_name")

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from depotlens.functions.filters import ALL_DATES
-from depotlens.operators.date_sums import date_bounds
 from depotlens.plans.party import Party
 from depotlens.plans.shortages import shortages
 from depotlens.sources.reader import Tables
@@ -32,5 +32,11 @@ def shortage_dates(tables: Tables) -> DataFrame:
 
 
 def order_date_bounds(tables: Tables, party: Party) -> DataFrame:
-    """Default range of the timeliness and lead-time reports: only rows with a known partner."""
-    return date_bounds(party.rows(tables, "order_date"), "order_date")
+    """Default range of the timeliness and lead-time reports: only rows with a known partner.
+
+    Dates are reduced to two per partner id before partners are looked up.
+    """
+    per_partner = tables[party.table].groupBy(party.partner_id).agg(
+        F.min("order_date").alias("first"), F.max("order_date").alias("last"))
+    known = per_partner.join(tables[party.partners], party.partner_id, "left_semi")
+    return known.agg(F.min("first").alias("min_date"), F.max("last").alias("max_date"))

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.functions.filters import Day, named, on_dates
+from depotlens.functions.filters import Day, Names, named, on_dates
 from depotlens.functions.scalars import FILL_COLOURS, FILL_THRESHOLDS, band, percent, round_half_away
 from depotlens.sources.reader import Tables
 
 
-def fill_levels(tables: Tables, date: Day = None, warehouses: Sequence[str] | None = None) -> DataFrame:
+def fill_levels(tables: Tables, date: Day = None, warehouses: Names = None) -> DataFrame:
     """(warehouse_name, fill_percentage, band); the latest stock date by default.
 
     Warehouses of the same name and capacity count as one, a warehouse without stock on

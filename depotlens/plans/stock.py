@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotlens.functions.filters import ALL_DATES, Dates, matching_like, named, on_dates
+from depotlens.functions.filters import ALL_DATES, Dates, Names, matching_like, named, on_dates
 from depotlens.operators.date_sums import sum_by_date
 from depotlens.sources.reader import Tables
 
-Names = Sequence[str] | None
-
 
 def stock_status(tables: Tables, dates: Dates = None, warehouses: Names = None,
                  term: str | None = None) -> DataFrame:
@@ -40,7 +36,8 @@ def stock_totals_by_date(tables: Tables, dates: Dates = None, warehouses: Names
     outer joins keep those stock rows, with nothing to add, so the dates do not have to be
     looked up in a second scan.
     """
-    how = "inner" if dates and dates != ALL_DATES else "left"
+    asked = isinstance(dates, DataFrame) or (dates and dates != ALL_DATES)
+    how = "inner" if asked else "left"
     stock = on_dates(tables["warehouse_stock"], "stock_date", dates)
     products = matching_like(tables["products"], "product_name", term)
     places = named(tables["warehouses"], "warehouse_name", warehouses)
@@ -61,14 +58,21 @@ def stock_trend(tables: Tables, dates: Dates = None, warehouses: Names = None,
     to show: if it leaves no stock rows, the result is empty.
 
     Rows are summed per warehouse id before names are looked up, so the join handles one
-    row per date and warehouse.
+    row per date and warehouse. Whether a product matches travels with the sums, so the
+    stock is read once.
     """
     stock = on_dates(tables["warehouse_stock"], "stock_date", dates)
     places = named(tables["warehouses"], "warehouse_name", warehouses)
-    by_id = stock.groupBy("stock_date", "warehouse_id").agg(F.sum("quantity_available").alias("quantity"))
+    products = matching_like(tables["products"], "product_name", term)
+    by_id = (
+        stock.select("stock_date", "product_code", "warehouse_id", "quantity_available")
+        .join(products.select("product_code", F.lit(1).alias("matched")).distinct(), "product_code", "left")
+        .groupBy("stock_date", "warehouse_id")
+        .agg(F.sum("quantity_available").alias("quantity"), F.max("matched").alias("matched"))
+    )
     trend = (
         by_id.join(places.select("warehouse_id", "warehouse_name"), "warehouse_id")
         .groupBy("stock_date", "warehouse_name")
-        .agg(F.sum("quantity").alias("quantity_available"))
+        .agg(F.sum("quantity").alias("quantity_available"), F.max("matched").alias("matched"))
     )
-    return trend.where(stock_status(tables, dates, warehouses, term).exists())
+    return trend.where(trend.agg(F.max("matched")).scalar() == 1).drop("matched")

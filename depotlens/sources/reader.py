@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotlens.sources.schemas import SPECS, TableSpec
@@ -58,11 +59,16 @@ def read_snapshot(spark: SparkSession, path: str, spec: TableSpec, fmt: str = "p
     CSV columns are matched by header name and read as text; typing happens in
     :func:`conform`, so a date written with a midnight time still parses.
     """
+    raw = _raw_snapshot(spark, path, spec, fmt)
+    return None if raw is None else conform(raw, spec)
+
+
+def _raw_snapshot(spark: SparkSession, path: str, spec: TableSpec, fmt: str) -> DataFrame | None:
     reader = spark.read
     if fmt == "csv":
         reader = reader.option("header", True).option("enforceSchema", False)
     try:
-        raw = reader.format(fmt).load(path)
+        return reader.format(fmt).load(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -71,7 +77,30 @@ def read_snapshot(spark: SparkSession, path: str, spec: TableSpec, fmt: str = "p
         if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return empty_table(spark, spec) if _is_finished(spark, path) else None
         raise
-    return conform(raw, spec)
+
+
+def read_checked(spark: SparkSession, path: str, spec: TableSpec, fmt: str = "csv") -> tuple[DataFrame, DataFrame] | None:
+    """One snapshot in two parts: the rows that parse, and what does not.
+
+    Where :func:`read_snapshot` turns text that does not parse into NULL, here a row with such text is kept aside. The
+    second table has a row per text that failed: (table, file, row_key, column, text), where ``row_key`` is the row's
+    key as it was written. NULL where ``path`` holds no snapshot. Both parts read the files, nothing is shuffled.
+    """
+    raw = _raw_snapshot(spark, path, spec, fmt)
+    if raw is None:
+        return None
+    conform(raw, spec)  # headers must be the declared ones
+    texts = raw.select(*[F.col(c) for c in spec.schema.fieldNames()], F.col("_metadata.file_name").alias("_file"))
+    failed = {f.name: F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull() for f in spec.schema.fields}
+    any_failed = reduce(Column.__or__, failed.values())
+    accepted = conform(texts.where(~any_failed).drop("_file"), spec)
+    key = F.concat_ws(",", *[F.col(c).cast("string") for c in spec.key])
+    cells = F.array(*[
+        F.struct(bad.alias("bad"), F.lit(name).alias("column"), F.col(name).cast("string").alias("text"))
+        for name, bad in failed.items()])
+    rejected = texts.where(any_failed).select(
+        F.lit(spec.name).alias("table"), F.col("_file").alias("file"), key.alias("row_key"), F.inline(cells))
+    return accepted, rejected.where("bad").drop("bad")
 
 
 def _is_finished(spark: SparkSession, path: str) -> bool:

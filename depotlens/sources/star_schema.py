@@ -1,7 +1,8 @@
 """The nine inventory tables derived from an order/line-item star schema.
 
 The derivation is described in FIXTURES.md. Three tables carry a natural key instead of
-a declared surrogate id, because the star schema has no unique line number.
+a declared surrogate id, because the star schema has no unique line number. A delivery is
+known by its order and supplier, so its id is text.
 """
 
 from __future__ import annotations
@@ -27,14 +28,13 @@ _NATURAL_KEYS: dict[str, tuple[str, tuple[str, ...]]] = {
 
 
 def _natural(spec: TableSpec) -> TableSpec:
-    surrogate, key = _NATURAL_KEYS[spec.name]
-    schema = T.StructType([f for f in spec.schema.fields if f.name != surrogate])
+    surrogate, key = _NATURAL_KEYS.get(spec.name, (None, spec.key))
+    kept = [f for f in spec.schema.fields if f.name != surrogate]
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == "delivery_id" else f for f in kept])
     return replace(spec, schema=schema, key=key)
 
 
-STAR_SPECS: dict[str, TableSpec] = {
-    name: _natural(spec) if name in _NATURAL_KEYS else spec for name, spec in SPECS.items()
-}
+STAR_SPECS: dict[str, TableSpec] = {name: _natural(spec) for name, spec in SPECS.items()}
 
 # file stem in the star schema -> main table derived from it
 STAR_ROUTES = {
@@ -64,7 +64,8 @@ def _quantity() -> Column:
 
 
 def _delivery_id() -> Column:
-    return F.col("l_orderkey") * 100000 + F.col("l_suppkey")
+    """Text of the pair: no factor keeps numbers of the pair apart at every size."""
+    return F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"))
 
 
 class StarSchema:
@@ -150,11 +151,10 @@ class StarSchema:
         )
 
     def delivery_details(self) -> DataFrame:
-        return (
-            self._load("lineitem")
-            .groupBy(_delivery_id().alias("delivery_id"), F.col("l_partkey").alias("product_code"))
-            .agg(F.sum(_quantity()).alias("quantity"))
-        )
+        per_product = self._load("lineitem").groupBy("l_orderkey", "l_suppkey", "l_partkey").agg(
+            F.sum(_quantity()).alias("quantity"))
+        return per_product.select(
+            _delivery_id().alias("delivery_id"), F.col("l_partkey").alias("product_code"), "quantity")
 
 
 def star_tables(spark: SparkSession, directory: str) -> LazyTables:

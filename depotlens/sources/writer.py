@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from depotlens.sources.schemas import TableSpec
 
@@ -42,14 +43,36 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
         df.write.mode("overwrite").parquet(path)
 
 
-def save_table(df: DataFrame, name: str, spec: TableSpec, buckets: int) -> None:
+def write_counted(df: DataFrame, path: str, spec: TableSpec) -> DataFrame:
+    """Write one table version and return (table, rule, column, violations) of its NOT NULL rules and, as rule
+    ``row_count``, its number of rows.
+
+    The figures are gathered while the rows pass by on their way into the files, so nothing is read a second time.
+    """
+    checked = tuple(dict.fromkeys((*spec.key, *spec.not_null)))
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[
+        F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in checked])
+    write_table(counted, path, spec.partition_by)
+    found = seen.get
+    rows = [(spec.name, "not_null", c, found[f"nulls_{c}"]) for c in checked] + [(spec.name, "row_count", "", found["rows"])]
+    return df.sparkSession.createDataFrame(rows, "table string, rule string, column string, violations bigint")
+
+
+def save_table(df: DataFrame, name: str, spec: TableSpec, buckets: int, by_date: bool = False) -> None:
     """Save a catalog table in the layout its joins want.
 
     Header and line tables are bucketed alike on the key they share, so that their join
     needs no shuffle; choose ``buckets`` so that one bucket of the larger table fits a
-    task. Tables without a bucket key are partitioned as in :func:`write_table`.
+    task. Tables without a bucket key are partitioned as in :func:`write_table`. ``by_date``
+    partitions bucketed tables by their date as well: a date range then reads its directories
+    only and still joins in place. Every date holds up to ``buckets`` files.
     """
-    if spec.bucket_by:
+    if spec.bucket_by and spec.partition_by and by_date:
+        shuffled = df.repartition(buckets, *spec.bucket_by).sortWithinPartitions(*spec.partition_by)
+        shuffled.write.mode("overwrite").partitionBy(*spec.partition_by).bucketBy(
+            buckets, *spec.bucket_by).sortBy(*spec.bucket_by).saveAsTable(name)
+    elif spec.bucket_by:
         shuffled = df.repartition(buckets, *spec.bucket_by)
         shuffled.write.mode("overwrite").bucketBy(buckets, *spec.bucket_by).sortBy(*spec.bucket_by).saveAsTable(name)
     elif spec.partition_by:

@@ -38,7 +38,7 @@ CTES: dict[str, str] = {
         SELECT l_orderkey AS order_id, l_partkey AS product_code, CAST(l_quantity AS BIGINT) AS quantity
         FROM lineitem""",
     "deliveries": """
-        SELECT l_orderkey * 100000 + l_suppkey AS delivery_id, l_suppkey AS supplier_id,
+        SELECT l_orderkey || '-' || l_suppkey AS delivery_id, l_suppkey AS supplier_id,
                CAST(o_orderdate AS DATE) AS order_date, CAST(o_orderdate AS DATE) + 14 AS expected_delivery_date,
                CASE WHEN l_orderkey % 7 = 0 THEN NULL
                     ELSE CAST(o_orderdate AS DATE) + CAST((l_orderkey + l_suppkey) % 30 AS INT) END AS delivery_date,
@@ -47,7 +47,7 @@ CTES: dict[str, str] = {
                     ELSE 'Completed with a delay' END AS delivery_status
         FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) x JOIN orders ON l_orderkey = o_orderkey""",
     "delivery_details": """
-        SELECT l_orderkey * 100000 + l_suppkey AS delivery_id, l_partkey AS product_code,
+        SELECT l_orderkey || '-' || l_suppkey AS delivery_id, l_partkey AS product_code,
                CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity
         FROM lineitem GROUP BY 1, 2""",
     # derived reports other queries build on
@@ -348,5 +348,77 @@ _QUERIES: dict[str, str] = {
 }
 
 
+_SOME = "order_date BETWEEN DATE '1995-03-10' AND DATE '1998-08-20'"
+_CHOSEN_STOCK = """(SELECT * FROM status
+        WHERE stock_date IN (SELECT CAST(date_trunc('month', order_date) AS DATE) FROM deliveries WHERE supplier_id = 3)
+          AND warehouse_name IN (SELECT warehouse_name FROM warehouses WHERE capacity >= 3000))"""
+_BAD = "(order_id % 47 = 0 OR order_id % 41 = 0 OR order_id % 43 = 0)"
+
+
+def _percent_text(value: str) -> str:
+    return f"CAST(round_even({value} * 100, 0) / 100 AS VARCHAR) || '%'"
+
+
+def _seconds(hours: str) -> str:
+    return f"CAST({hours} AS DOUBLE) * 3600"
+
+
+_QUERIES |= {
+    "abc_report_stored": _abc_report(_SOME, "line"),
+    "abc_report_product_stored": _abc_report(_ANY, "product"),
+    "abc_summary_stored": _abc_summary(_SOME, "line"),
+    "abc_distribution_stored": _abc_distribution(_ANY, "line"),
+    "abc_top_product_stored": _QUERIES["abc_top_product"],
+    "snapshot_sync_buckets": _QUERIES["snapshot_sync"],
+    "stored_row_counts": " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, COUNT(*) AS row_count FROM {t}"
+        for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")),
+    "stored_date_bounds": """
+        SELECT 'orders' AS table_name, MIN(order_date) AS min_value, MAX(order_date) AS max_value FROM inv_orders
+        UNION ALL
+        SELECT 'warehouse_stock', MIN(stock_date), MAX(stock_date) FROM warehouse_stock""",
+    "stock_status_choices": f"SELECT * FROM {_CHOSEN_STOCK} t",
+    "stock_totals_choices": f"""
+        SELECT d.stock_date, CAST(COALESCE(SUM(quantity_available), 0) AS BIGINT) AS total_available
+        FROM (SELECT DISTINCT CAST(date_trunc('month', order_date) AS DATE) AS stock_date
+              FROM deliveries WHERE supplier_id = 3) d
+        LEFT JOIN (SELECT * FROM {_CHOSEN_STOCK} t WHERE product_name ILIKE '%ring%') s USING (stock_date) GROUP BY 1""",
+    "ingest_accepted": f"SELECT * FROM inv_orders WHERE NOT {_BAD}",
+    "ingest_rejected": """
+        SELECT 'orders' AS "table", CAST(order_id AS VARCHAR) AS row_key, c AS "column", t AS text
+        FROM (SELECT order_id, 'customer_id' AS c, 'no. ' || customer_id AS t FROM inv_orders WHERE order_id % 47 = 0
+              UNION ALL SELECT order_id, 'order_date', 'soon' FROM inv_orders WHERE order_id % 41 = 0
+              UNION ALL SELECT order_id, 'shipping_date', '2024-13-45' FROM inv_orders WHERE order_id % 43 = 0) x""",
+    "refresh_from_files": """
+        SELECT 'orders' AS "table", CAST(0 AS BIGINT) AS duplicates_removed,
+               COUNT(*) FILTER (WHERE order_date > DATE '1998-06-30') AS added,
+               COUNT(*) FILTER (WHERE order_date < DATE '1993-01-01') AS deleted, 'synced' AS status FROM inv_orders
+        UNION ALL SELECT 'suppliers', 0, 0, 0, 'synced' UNION ALL SELECT 'customers', 0, 0, 0, 'synced'
+        UNION ALL SELECT 'products', 0, 0, 0, 'skipped'""",
+    "report_export": f"""
+        SELECT product_name AS "Product Name", CAST(total_sales AS VARCHAR) AS "Total Sales",
+               {_percent_text('sales_pct')} AS "Sales Percentage",
+               {_percent_text('cumulative_pct')} AS "Cumulative Percentage", abc_category AS "ABC Category"
+        FROM ({_abc_report(_ANY, "product")}) r""",
+    "appended_orders": """
+        SELECT CAST(date_trunc('month', order_date) AS DATE) AS order_month, COUNT(*) AS n FROM inv_orders GROUP BY 1""",
+    "write_checks": """
+        SELECT 'customers' AS "table", 'not_null' AS rule, 'customer_id' AS "column", CAST(0 AS BIGINT) AS violations
+        UNION ALL SELECT 'customers', 'not_null', 'customer_name', COUNT(*) FROM customers WHERE customer_id % 10 = 3
+        UNION ALL SELECT 'customers', 'row_count', '', COUNT(*) FROM customers
+        UNION ALL SELECT 'products', 'not_null', c, 0 FROM (VALUES ('product_code'), ('product_name')) v(c)
+        UNION ALL SELECT 'products', 'row_count', '', COUNT(*) FROM products""",
+    "lead_time_with_hours": f"""
+        SELECT order_id,
+               CAST(date_diff('day', order_date, shipping_date) AS DOUBLE)
+                   + ({_seconds('order_id * 7 % 24')} - {_seconds('order_id % 24')}) / 86400 AS lead_time_days,
+               CAST(date_diff('day', order_date, shipping_date) AS INTEGER) AS cycle_lead_time
+        FROM partner_orders""",
+    "lead_time_text": """
+        SELECT printf('%.2f', d) || ' (days)' AS avg_days, printf('%.2f', d * 24) || ' (hours)' AS avg_hours
+        FROM (SELECT AVG(date_diff('day', order_date, delivery_date)) AS d FROM partner_deliveries) t""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_ctes(sql) for name, sql in _QUERIES.items()}
