@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from depotlens.llm.common import numbered, sized_broadcast
 
 RESOLUTION = 1000
+SLOTS = 10_000
 PERIOD_SLOTS = 1_000_000
 BLOCK_ROWS = 16
 NO_SOURCE = ""
@@ -120,11 +121,25 @@ def _placed_blocks(spark, weights: Mapping[str, int], blocks: Mapping[str, int])
         place, "_source string, block bigint, release bigint, deadline bigint, position bigint")
 
 
-def target_weights(docs: DataFrame, source: str = "source") -> dict[str, int]:
-    """Square roots, rounded up, of the numbers of rows: large sources are sampled more, but less than they are larger."""
-    rows = docs.groupBy(F.coalesce(F.col(source), F.lit(NO_SOURCE)).alias("_source")).agg(
-        F.ceil(F.sqrt(F.count(F.lit(1)))).alias("w"))
-    return {r._source: r.w for r in rows.collect()}
+def target_weights(docs: DataFrame, source: str = "source", size: str | None = None, slots: int = SLOTS) -> dict[str, int]:
+    """Shares of ``slots`` in proportion to the square roots of the sources' sums of ``size``, or of their rows.
+
+    Large sources are sampled more, but less than they are larger. Shares are whole and add up to ``slots``, or to the
+    number of sources if there are more, so the period of the mix does not grow with the data. NULL sizes count 0.
+    """
+    weight = F.count(F.lit(1)) if size is None else F.coalesce(F.sum(size), F.lit(0))
+    rows = docs.groupBy(F.coalesce(F.col(source), F.lit(NO_SOURCE)).alias("_source")).agg(weight.alias("w")).collect()
+    return whole_weights({r._source: math.sqrt(max(r.w, 1)) for r in rows}, slots) if rows else {}
+
+
+def in_mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """(_id, _position): the first position of every key in the mix to :func:`target_weights` by bytes of text.
+
+    Only keys, sources and sizes are scheduled. Own columns of ``docs`` may be called like the two.
+    """
+    ids = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.octet_length(text).alias("bytes"))
+    return mixed(ids, target_weights(ids, size="bytes")).groupBy(F.col("doc_id").alias("_id")).agg(
+        F.min("position").alias("_position"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, key: str = "doc_id", source: str = "source",

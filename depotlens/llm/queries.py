@@ -82,8 +82,8 @@ def op9_pattern_packing(spark, sf_dir):
 
 
 def op10_pfair_mix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return pfair_mix.mixed(docs, pfair_mix.target_weights(docs))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("bytes"))
+    return pfair_mix.mixed(docs.drop("bytes"), pfair_mix.target_weights(docs, size="bytes"))
 
 
 def op11_rans_files(spark, sf_dir):

@@ -540,13 +540,44 @@ def test_many_sources_keep_their_weights():
     assert [x[:2] for x in itertools.islice(pfair_mix.schedule(weights, blocks), len(placed))] == [x[:2] for x in placed]
 
 
+def brute_positions(weights, blocks):
+    """Earliest deadline first, slot after slot of one period; periods follow each other, blocks that are missing leave
+    no gap."""
+    total, slots, done = sum(weights.values()), [], dict.fromkeys(weights, 0)
+    for slot in range(total):
+        released = [(-(-(j + 1) * total // weights[s]), s) for s, j in done.items()
+                    if j < weights[s] and j * total // weights[s] <= slot]
+        s = min(released)[1]
+        slots.append((s, done[s]))
+        done[s] += 1
+    position = {}
+    for period in range(max(-(-n // weights[s]) for s, n in blocks.items())):
+        for s, j in slots:
+            if period * weights[s] + j < blocks[s]:
+                position[s, period * weights[s] + j] = len(position)
+    return position
+
+
 def test_op10_mixes_to_unequal_weights(spark, small, docs):
-    got = queries.op10_pfair_mix(spark, small).toPandas()
-    weights = {s: math.ceil(math.sqrt(n)) for s, n in docs.source.fillna("").value_counts().items()}
-    assert pfair_mix.target_weights(spark.read.parquet(f"{small}/documents.parquet")) == weights
-    total = sum(weights.values())
-    for s, block, release, deadline in got[["source", "block", "release", "deadline"]].fillna({"source": ""}).values:
-        assert (release, deadline) == (block * total // weights[s], -(-(block + 1) * total // weights[s]))
+    got = queries.op10_pfair_mix(spark, small).toPandas().fillna({"source": ""})
+    sizes = docs.text.fillna("").str.encode("utf-8").str.len().groupby(docs.source.fillna("")).sum()
+    weights = pfair_mix.whole_weights({s: math.sqrt(max(n, 1)) for s, n in sizes.items()}, 10_000)
+    assert sum(weights.values()) == 10_000 and len(set(weights.values())) > len(weights) / 2
+    for s, block, release, deadline in got[["source", "block", "release", "deadline"]].values:
+        assert (release, deadline) == (block * 10_000 // weights[s], -(-(block + 1) * 10_000 // weights[s]))
+    blocks = {s: -(-n // pfair_mix.BLOCK_ROWS) for s, n in got.source.value_counts().items()}
+    position = brute_positions(weights, blocks)
+    assert all(position[s, b] == p for s, b, p in got[["source", "block", "position"]].values)
+    assert got.groupby(["source", "block"]).size().max() <= pfair_mix.BLOCK_ROWS
+
+
+def test_positions_equal_brute_force_when_sources_run_out(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(
+        F.col("id") % 50 == 1, "b").otherwise("c").alias("source"))
+    weights = {"a": 5, "b": 7, "c": 2}
+    got = pfair_mix.mixed(df, weights, block_rows=4).toPandas()
+    position = brute_positions(weights, {s: -(-n // 4) for s, n in got.source.value_counts().items()})
+    assert all(position[s, b] == p for s, b, p in got[["source", "block", "position"]].values)
 
 
 def test_mix_odd_rows(odd, nothing):
@@ -610,7 +641,7 @@ def test_near_copies_at_five_words_and_80_percent(spark):
 
 def test_sequences_follow_the_mix(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    mixed = pfair_mix.mixed(docs, pfair_mix.target_weights(docs)).toPandas().set_index("doc_id").position
+    mixed = pfair_mix.in_mix(docs).toPandas().set_index("_id")._position
     shuffled = corpus_pipeline.mixing(spark, docs, small).orderBy(F.xxhash64("text"))
     got = corpus_pipeline.packing(spark, shuffled, small).toPandas()
     check_packing(got, 2048)
