@@ -6,6 +6,7 @@ next one's documents. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import public_tokenizers
@@ -37,17 +38,11 @@ def secrets(spark, docs, sf_dir):
         F.size("secret_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-def in_mix(docs):
-    """(_id, _position): the first position in the mix of every doc_id. Only ids and sources are scheduled."""
-    ids = docs.select("doc_id", "source")
-    return pfair_mix.mixed(ids, pfair_mix.target_weights(ids)).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.min("position").alias("_position"))
-
-
 def mixing(spark, docs, sf_dir):
     """Put the documents into the order of the mix; nothing is dropped."""
-    ordered = docs.join(sized_broadcast(in_mix(docs)), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    return ordered.orderBy("_position", "doc_id").select(*[docs[c] for c in docs.columns])
+    place, at = sized_broadcast(pfair_mix.in_mix(docs)), docs["doc_id"]
+    ordered = docs.join(place, at.eqNullSafe(place["_id"]), "left")
+    return ordered.orderBy(place["_position"], at).select(*[docs[c] for c in docs.columns])
 
 
 def packing(spark, docs, sf_dir):
@@ -56,7 +51,7 @@ def packing(spark, docs, sf_dir):
     Files have no order, so the positions are computed again from ids and sources.
     """
     path = public_tokenizers.path(pattern_packing.TOKENIZER_FILE)
-    cut, placed = pattern_packing.pieces(docs, path), sized_broadcast(in_mix(docs))
+    cut, placed = pattern_packing.pieces(docs, path), sized_broadcast(pfair_mix.in_mix(docs))
     pieces = cut.join(placed, cut["doc_id"].eqNullSafe(F.col("_id")), "left").select(*cut.columns, "_position")
     return pattern_packing.packed(pieces, position="_position").drop("_position")
 
@@ -73,6 +68,16 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def release(spark):
+    """Let go of what a finished stage left behind.
+
+    Spark removes broadcasts, shuffle files and checkpoints once the driver has collected the objects that stand for
+    them, which a driver with room to spare puts off. Its memory and the shared folder stay smaller this way.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def run(spark, sf_dir):
     """All stages over the documents of a data directory, each one's result stored before the next begins."""
     docs = table(spark, sf_dir, "documents")
@@ -80,4 +85,5 @@ def run(spark, sf_dir):
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
