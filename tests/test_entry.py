@@ -1,4 +1,5 @@
 import __spark_entry__ as contract
+import stored_queries
 from depotlens.sources import catalog
 from depotlens.sources.star_schema import STAR_ROUTES
 from depotlens.session import INITIAL_PARTITIONS, build_session, parallel_tasks, partitions_for
@@ -11,7 +12,9 @@ def test_entry(spark):
 
 
 def test_every_query_has_a_stable_schema(spark, small):
-    for name, query in contract.report_queries().items():
+    # those that go through files write them when they are called: their columns and types are compared with their SQL
+    for name in set(contract.report_queries()) - set(stored_queries.queries(None)):
+        query = contract.report_queries()[name]
         first, second = query(spark, small), query(spark, small)
         assert first.schema == second.schema, name
 
