@@ -24,6 +24,7 @@ from depotlens.llm.token_chunks import closed, library_encoder, words_and_spaces
 
 CAPACITY = 2048
 END_ID = 0
+KEPT_BYTES = 64 << 20  # of chunks in a worker, which the other stages of a pipeline share the executor with
 TOKENIZER_FILE = "word_bpe_49k.json"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLAN = "length bigint, first bigint, last bigint, base bigint, offset bigint"
@@ -35,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     A NULL or empty text is the closing id alone. The ids themselves are returned as their CRC-32.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, specials = library_encoder(tokenizer_path)
+        encoder, specials = library_encoder(tokenizer_path, most_bytes=KEPT_BYTES)
         for batch in batches:
             for tokens in encoder.tokens(batch.column("text"), words_and_spaces, specials):
                 ids, bounds = closed(tokens, END_ID)
