@@ -35,11 +35,13 @@ def bucket_digests(df: DataFrame, key: Sequence[str], buckets: int) -> DataFrame
     """(bucket, row_count, key_count, digest) of every bucket that has rows.
 
     The digest adds up two 64-bit hashes of each different key; rows of one key count once. Only keys are read, and
-    copies are added up before they are shuffled.
+    copies are added up before they are shuffled. A bucket with a NULL in a key has no digest: NULL matches nothing, so such
+    rows change with every synchronisation.
     """
     per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     wide = [F.xxhash64(*parts).cast("decimal(38,0)") for parts in (key, [F.lit("second"), *key])]
-    digest = F.sum(wide[0] + wide[1] * F.lit(3).cast("decimal(38,0)"))
+    without_key = F.bool_or(reduce(Column.__or__, [F.col(c).isNull() for c in key]))
+    digest = F.when(~without_key, F.sum(wide[0] + wide[1] * F.lit(3).cast("decimal(38,0)")))
     return per_key.groupBy(_bucket_of(key, buckets).alias("bucket")).agg(
         F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("key_count"), digest.cast("decimal(38,0)").alias("digest"))
 
