@@ -1,9 +1,9 @@
 """Stupid-backoff scores of documents under a bigram model of the corpus, computed relationally.
 
-Counts cover all documents. N-grams seen fewer than ``min_count`` times are not in the tables; a bigram
-that is missing backs off to its second word, and a word that is missing to the pooled count of all such
-words. The first word of a text is scored as a word. With ``min_count`` 1 nothing is cut: every word and bigram
-has its own count. Words seen once are not joined then either, as they and their bigrams count 1.
+Counts cover all documents and, as ``min_count`` is 1, all n-grams: every word and bigram has its own count. Words
+seen once are not joined, as they and their bigrams count 1. With a larger ``min_count`` n-grams seen less often are
+not in the tables; a bigram that is missing backs off to its second word, and a word that is missing to the pooled
+count of all such words. The first word of a text is scored as a word.
 
     S(w2 | w1) = c(w1 w2) / c(w1)      if the bigram is in its table
                = alpha * c(w2) / N     otherwise
@@ -26,9 +26,11 @@ from depotlens.llm.common import checkpointed, numbered, sized_broadcast
 from depotlens.llm.words import mixed, words_of
 
 ALPHA = 0.4
-MIN_COUNT = 2
+MIN_COUNT = 1
 HOT_SHARE = 2000  # a word is frequent if it stands for more than one in so many of all words
 BROADCAST_WORDS = 4_000_000
+WORD_BYTES = 64  # a known word in the memory of the driver
+DRIVER_SHARE = 4  # known words are broadcast if they fit one of so many parts of it
 WORDS_PER_PART = 2_000_000  # occurrences that one partition sorts
 COUNT_CLASSES = 16
 LIST_ROWS = 256  # bigrams that travel as one list
@@ -138,7 +140,35 @@ def packed(rows: DataFrame, parts: int) -> DataFrame:
         pack, "part int, docs array<bigint>, grams array<bigint>, n array<bigint>, s array<double>")
 
 
-def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
+def most_broadcast(spark) -> int:
+    """Known words that are sent to every executor at most; beyond, they are joined by shuffle."""
+    memory = spark.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    return min(BROADCAST_WORDS, memory // (DRIVER_SHARE * WORD_BYTES))
+
+
+def _looked_up(rows: DataFrame, key: str, facts: DataFrame, count: str, broadcast: bool, least: float,
+               nothing: int | None = None) -> DataFrame:
+    """``rows`` with the ``facts`` of their ``key``, NULL if there are none.
+
+    Without ``broadcast`` the few facts whose ``count`` exceeds ``least`` are sent ahead. Rows that met one, and rows
+    whose key is NULL or ``nothing``, are spread over all tasks, so no key weighs down one of them.
+    """
+    if broadcast:
+        return rows.join(F.broadcast(facts), key, "left")
+    values = [c for c in facts.columns if c != key]
+    top = facts.where(F.col(count) > least).select(key, *[F.col(c).alias(f"_top_{c}") for c in values])
+    rest = facts.where(F.col(count) <= least).select(F.col(key).alias("_key"), F.lit(True).alias("_sought"), *values)
+    sought = F.col(key).isNotNull() & F.col(f"_top_{count}").isNull()
+    if nothing is not None:
+        sought &= F.col(key) != nothing
+    met = rows.join(F.broadcast(top), key, "left").withColumn("_sought", sought)
+    met = met.withColumn("_key", F.when(F.col("_sought"), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    return met.join(rest, ["_key", "_sought"], "left").select(
+        *rows.columns, *[F.coalesce(f"_top_{c}", c).alias(c) for c in values])
+
+
+def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT,
+           broadcast_words: int | None = None) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every document.
 
     A text without words, NULL or empty, has 0 words, score 0 and a NULL mean. Rows that repeat a doc_id are
@@ -149,10 +179,13 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
     A word is frequent if it stands for more than one in ``HOT_SHARE`` of all words. Bigrams of two frequent words,
     at most ``HOT_SHARE`` squared, are counted beforehand by partial sums and looked up where the text is read; all
     others are too rare to weigh down a partition. More than ``MOST_KNOWN`` known words raise ``ValueError``.
+    Up to ``broadcast_words`` known words, as many as the driver's memory suits unless given, are looked up by
+    broadcast, more of them by shuffle, with the same result.
 
     With ``min_count`` 1 the words seen twice or more are numbered. Of the others each has count 1, and so has
     every bigram that holds one, so the scores are exact without looking them up.
     """
+    spark = docs.sparkSession
     whole, min_count, least = min_count <= 1, max(min_count, 1), max(min_count, 2)
     words = checkpointed(word_counts(docs))
     total, rare, known = words.agg(
@@ -170,15 +203,14 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
     table = checkpointed(numbered(classed, ["_class"], ["word"], "_rank").withColumn(
         "id", F.col("_rank") + F.element_at(F.lit(list(starts.values())), F.col("_class") - least + 1)))
     counted = table.where(F.col("_class") == last).select("id", "n")
-    if known <= BROADCAST_WORDS:
-        table, counted = F.broadcast(table), F.broadcast(counted)
+    broadcast = known <= (most_broadcast(spark) if broadcast_words is None else broadcast_words)
     frequent = np.array([r.word for r in words.where(F.col("n") > total / HOT_SHARE).select("word").collect()], np.int64)
     pairs = sized_broadcast(frequent_pairs(docs, frequent).where(F.col("c12") >= least))
 
     grams = bigrams(docs)
     for k in "12":
-        grams = grams.join(table.select(F.col("word").alias(f"w{k}"), F.col("n").alias(f"c{k}"),
-                                        F.col("id").alias(f"id{k}")), f"w{k}", "left")
+        facts = table.select(F.col("word").alias(f"w{k}"), F.col("n").alias(f"c{k}"), F.col("id").alias(f"id{k}"))
+        grams = _looked_up(grams, f"w{k}", facts, f"c{k}", broadcast, total / HOT_SHARE, nothing=0)
     grams = grams.join(pairs, ["w1", "w2"], "left")
     begins = F.col("w1") == 0
     word = F.coalesce(F.log("c2") - math.log(total), F.lit(unknown))
@@ -188,7 +220,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
         once, -F.log(F.coalesce("c1", F.lit(1)))).otherwise(math.log(alpha) + word)
     gram = F.when(~begins & F.col("id1").isNotNull() & F.col("id2").isNotNull() & ~is_hot,
                   F.col("id1") * F.lit(known) + F.col("id2"))
-    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // WORDS_PER_PART))
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-total // WORDS_PER_PART))
     sent = packed(grams.select("doc_id", score.alias("score"), gram.alias("gram")), parts)
 
     one = sent.repartitionById(parts, F.col("part")).select("*", F.posexplode("docs").alias("_pos", "_doc")).select(
@@ -199,7 +231,8 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT) ->
         "doc_id", "n", "s", "c12", F.expr(f"_seen div {max(known, 1)}").alias("id1"),
         (F.col("_seen") % max(known, 1)).alias("id2"))
     for k in "12":
-        seen = seen.join(counted.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"c{k}")), f"id{k}", "left")
+        facts = counted.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"c{k}"))
+        seen = _looked_up(seen, f"id{k}", facts, f"c{k}", broadcast, total / HOT_SHARE)
         below = [F.when(F.col(f"id{k}") < starts[c + 1], F.lit(c)) for c in range(least, last)]
         seen = seen.withColumn(f"c{k}", F.coalesce(f"c{k}", *below))
     better = F.log("c12") - F.log("c1") - math.log(alpha) - F.log("c2") + math.log(total)

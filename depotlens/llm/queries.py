@@ -45,11 +45,6 @@ def op5_backoff_lm(spark, sf_dir):
     return backoff_lm.scores(table(spark, sf_dir, "documents"))
 
 
-def op5_backoff_lm_whole(spark, sf_dir):
-    """All n-grams; ``op5_backoff_lm`` leaves out those seen once, as its SQL does."""
-    return backoff_lm.scores(table(spark, sf_dir, "documents"), min_count=1)
-
-
 def op6_rendezvous(spark, sf_dir):
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -108,7 +103,6 @@ def queries():
         "op3_jaccard_join": op3_jaccard_join,
         "op4_pivot_search": op4_pivot_search,
         "op5_backoff_lm": op5_backoff_lm,
-        "op5_backoff_lm_whole": op5_backoff_lm_whole,
         "op6_rendezvous": op6_rendezvous,
         "op7_knn_quality": op7_knn_quality,
         "op8_chat_format": op8_chat_format,
@@ -259,10 +253,10 @@ WITH w AS (
 ), two AS (
     SELECT w1, w2, count(*) AS c12 FROM o WHERE w1 IS NOT NULL GROUP BY w1, w2
 ), t AS (
-    SELECT sum(c) AS total, greatest(coalesce(sum(c) FILTER (c < 2), 1), 1) AS rare FROM one
+    SELECT sum(c) AS total FROM one
 ), s AS (
-    SELECT o.doc_id, CASE WHEN o.w1 IS NOT NULL AND c12 >= 2 THEN ln(c12) - ln(a.c)
-                     ELSE CASE WHEN o.w1 IS NULL THEN 0 ELSE ln(0.4) END + ln(CASE WHEN b.c >= 2 THEN b.c ELSE rare END) - ln(total) END AS x
+    SELECT o.doc_id, CASE WHEN c12 > 0 THEN ln(c12) - ln(a.c)
+                     ELSE CASE WHEN o.w1 IS NULL THEN 0 ELSE ln(0.4) END + ln(b.c) - ln(total) END AS x
     FROM o CROSS JOIN t JOIN one b ON o.w2 = b.word LEFT JOIN one a ON o.w1 = a.word
     LEFT JOIN two ON o.w1 = two.w1 AND o.w2 = two.w2
 )

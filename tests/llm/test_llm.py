@@ -290,7 +290,7 @@ def test_large_components_keep_exact_scores(spark):
 
 # op5 ------------------------------------------------------------------------------------------------
 
-def test_backoff_scores_match_brute_force(spark, docs):
+def test_backoff_scores_with_a_cut_match_brute_force(spark, docs):
     texts = [re.sub("[A-Z]+", lambda m: m[0].lower(), t or "") for t in docs.text]
     w = [words(t) for t in texts]
     one = collections.Counter(itertools.chain.from_iterable(w))
@@ -301,7 +301,7 @@ def test_backoff_scores_match_brute_force(spark, docs):
     def word(x):
         return math.log(one[x] / total) if one[x] >= 2 else unknown
 
-    got = by_id(backoff_lm.scores(spark.createDataFrame(docs[["doc_id", "text"]])))
+    got = by_id(backoff_lm.scores(spark.createDataFrame(docs[["doc_id", "text"]]), min_count=2))
     assert len(got) == len(docs)
     for doc, x in zip(docs.doc_id, w):
         expected = sum(math.log(two[p] / one[p[0]]) if two[p] >= 2 else math.log(0.4) + word(p[1]) for p in zip(x, x[1:]))
@@ -310,13 +310,15 @@ def test_backoff_scores_match_brute_force(spark, docs):
         assert got[doc].log_score == pytest.approx(expected, abs=1e-4)
 
 
-def test_whole_backoff_counts_every_ngram(spark, small, docs):
+@pytest.mark.parametrize("broadcast_words", [None, 0])
+def test_whole_backoff_counts_every_ngram(spark, docs, broadcast_words):
+    """Every n-gram by its own count, with known words looked up by broadcast and by shuffle."""
     texts = {d: words(re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) for d, t in zip(docs.doc_id, docs.text)}
     tiny = {0: ["new", "words", "only"], 1: ["a", "b", "a", "b", "a", "c"], 2: ["once"], 3: []}
     hot = {i: ["the", "of", f"x{i}"] + ["the"] * (i % 3) for i in range(3000)} | {3000: ["of", "the", "of"]}
     frame = lambda t: spark.createDataFrame([(k, " ".join(x)) for k, x in t.items()], "doc_id bigint, text string")
-    for w, got in ((texts, queries.op5_backoff_lm_whole(spark, small)), (tiny, backoff_lm.scores(frame(tiny), min_count=1)),
-                   (hot, backoff_lm.scores(frame(hot), min_count=1))):
+    for w in (texts, tiny, hot):
+        got = backoff_lm.scores(frame(w), broadcast_words=broadcast_words)
         one = collections.Counter(itertools.chain.from_iterable(w.values()))
         two = collections.Counter(p for x in w.values() for p in zip(x, x[1:]))
         total, got = sum(one.values()), by_id(got)
@@ -327,6 +329,16 @@ def test_whole_backoff_counts_every_ngram(spark, small, docs):
             assert got[doc].log_score == pytest.approx(expected, abs=1e-4)
 
 
+def test_lookup_by_shuffle_spreads_frequent_and_missing_keys(spark):
+    facts = spark.range(1, 50).selectExpr("id as w", "100 - id as c", "id * 2 as twice")
+    rows = spark.range(400).selectExpr("id", "case when id % 4 = 0 then 1 when id % 4 = 1 then 0 when id % 4 = 2 then null "
+                                       "else id % 60 end as w")
+    got, expected = (sorted(map(tuple, backoff_lm._looked_up(rows, "w", facts, "c", b, 90, nothing=0).select(
+        "id", F.coalesce("w", F.lit(-1)), F.coalesce("c", F.lit(-1)), F.coalesce("twice", F.lit(-1))).collect()))
+        for b in (False, True))
+    assert got == expected and len(got) == 400
+
+
 def test_backoff_odd_rows(odd, nothing):
     got = {r.doc_id: r for r in backoff_lm.scores(odd).collect()}
     assert len(got) == 9 and got[1].n_words == 0 and got[2].mean_log_score is None and got[4].n_words == 4
