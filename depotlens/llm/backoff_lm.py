@@ -1,7 +1,7 @@
 """Stupid-backoff scores of documents under a bigram model of the corpus, computed relationally.
 
 Counts cover all documents and, as ``min_count`` is 1, all n-grams: every word and bigram has its own count. Words
-seen once are not joined, as they and their bigrams count 1. With a larger ``min_count`` n-grams seen less often are
+seen once are not joined, as they and their bigrams count 1, and no bigram of the corpus backs off. With a larger ``min_count`` n-grams seen less often are
 not in the tables; a bigram that is missing backs off to its second word, and a word that is missing to the pooled
 count of all such words. The first word of a text is scored as a word.
 
@@ -217,7 +217,7 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT,
     is_hot = F.least("c1", "c2") > total / HOT_SHARE
     once = F.lit(whole) & (F.col("id1").isNull() | F.col("id2").isNull() | is_hot)  # bigrams that are sure to count 1
     score = F.when(begins, word).when(F.col("c12").isNotNull(), F.log("c12") - F.log("c1")).when(
-        once, -F.log(F.coalesce("c1", F.lit(1)))).otherwise(math.log(alpha) + word)
+        once, -F.log(F.coalesce("c1", F.lit(1)))).otherwise(-F.log("c1") if whole else math.log(alpha) + word)
     gram = F.when(~begins & F.col("id1").isNotNull() & F.col("id2").isNotNull() & ~is_hot,
                   F.col("id1") * F.lit(known) + F.col("id2"))
     parts = max(2 * spark.sparkContext.defaultParallelism, -(-total // WORDS_PER_PART))
@@ -227,15 +227,19 @@ def scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_COUNT,
         "part", F.col("_doc").alias("doc_id"), F.get("grams", "_pos").alias("gram"), F.get("n", "_pos").alias("n"),
         F.get("s", "_pos").alias("s"))
     c12 = F.count("gram").over(W.partitionBy("gram", "part"))  # sorted by bigram first
-    seen = one.withColumn("c12", c12).withColumn("_seen", F.when(F.col("c12") >= min_count, F.col("gram"))).select(
-        "doc_id", "n", "s", "c12", F.expr(f"_seen div {max(known, 1)}").alias("id1"),
-        (F.col("_seen") % max(known, 1)).alias("id2"))
-    for k in "12":
-        facts = counted.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"c{k}"))
-        seen = _looked_up(seen, f"id{k}", facts, f"c{k}", broadcast, total / HOT_SHARE)
-        below = [F.when(F.col(f"id{k}") < starts[c + 1], F.lit(c)) for c in range(least, last)]
-        seen = seen.withColumn(f"c{k}", F.coalesce(f"c{k}", *below))
-    better = F.log("c12") - F.log("c1") - math.log(alpha) - F.log("c2") + math.log(total)
+    seen = one.withColumn("c12", c12)
+    if whole:  # every bigram is in its table, and the count of its first word is in the sum already
+        better = F.log("c12")
+    else:
+        seen = seen.withColumn("_seen", F.when(F.col("c12") >= min_count, F.col("gram"))).select(
+            "doc_id", "n", "s", "c12", F.expr(f"_seen div {max(known, 1)}").alias("id1"),
+            (F.col("_seen") % max(known, 1)).alias("id2"))
+        for k in "12":
+            facts = counted.select(F.col("id").alias(f"id{k}"), F.col("n").alias(f"c{k}"))
+            seen = _looked_up(seen, f"id{k}", facts, f"c{k}", broadcast, total / HOT_SHARE)
+            below = [F.when(F.col(f"id{k}") < starts[c + 1], F.lit(c)) for c in range(least, last)]
+            seen = seen.withColumn(f"c{k}", F.coalesce(f"c{k}", *below))
+        better = F.log("c12") - F.log("c1") - math.log(alpha) - F.log("c2") + math.log(total)
     sums = seen.groupBy("doc_id").agg(
         F.sum("n").alias("n_words"),
         F.sum(F.coalesce("s", better)).alias("log_score"))

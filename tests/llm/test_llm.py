@@ -290,7 +290,8 @@ def test_large_components_keep_exact_scores(spark):
 
 # op5 ------------------------------------------------------------------------------------------------
 
-def test_backoff_scores_with_a_cut_match_brute_force(spark, docs):
+@pytest.mark.parametrize("broadcast_words", [None, 0])
+def test_backoff_scores_with_a_cut_match_brute_force(spark, docs, broadcast_words):
     texts = [re.sub("[A-Z]+", lambda m: m[0].lower(), t or "") for t in docs.text]
     w = [words(t) for t in texts]
     one = collections.Counter(itertools.chain.from_iterable(w))
@@ -301,7 +302,8 @@ def test_backoff_scores_with_a_cut_match_brute_force(spark, docs):
     def word(x):
         return math.log(one[x] / total) if one[x] >= 2 else unknown
 
-    got = by_id(backoff_lm.scores(spark.createDataFrame(docs[["doc_id", "text"]]), min_count=2))
+    got = by_id(backoff_lm.scores(spark.createDataFrame(docs[["doc_id", "text"]]), min_count=2,
+                                  broadcast_words=broadcast_words))
     assert len(got) == len(docs)
     for doc, x in zip(docs.doc_id, w):
         expected = sum(math.log(two[p] / one[p[0]]) if two[p] >= 2 else math.log(0.4) + word(p[1]) for p in zip(x, x[1:]))
