@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from depotlens.llm.common import checkpointed, sized_broadcast
+from depotlens.llm.common import checkpointed, fresh, numbered, sized_broadcast
 from depotlens.llm.components import components
 from depotlens.llm.words import windows, words_of
 
@@ -259,35 +260,65 @@ def _with_component(df: DataFrame, column: str, labels: DataFrame, name: str) ->
     return df.join(found, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _nodes(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+def _further_sets(keyed: DataFrame, firsts: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """(set_key, doc, node) of sets whose first document already stands for another set; None if there are none.
+
+    That takes different texts under one doc_id. Such a set is a node of its own, numbered beyond all doc_ids.
+    """
+    several = groups.where("sets > 1").select("doc", F.col("set_key").alias("_own"))
+    if several.isEmpty():
+        return None
+    top = keyed.agg(F.max("doc_id")).first()[0]
+    others = firsts.join(several, "doc").where("set_key <> _own").select("set_key", "doc")
+    return checkpointed(numbered(others, [], ["set_key"], "_number").select(
+        "set_key", "doc", (F.col("_number") + F.lit(top) + 1).alias("node")))
+
+
+def _more_whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, tokens) of the further sets in ``wanted`` (set_key, doc, node), under the numbers of their nodes."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in shingle_sets(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), _lists(sets)],
+                                             ["set_key", "tokens"])
+
+    ids = sized_broadcast(wanted.select(F.col("doc").alias("doc_id")).distinct())
+    chosen = docs.select(F.col("doc_id").cast("bigint"), "text").join(ids, "doc_id", "left_semi").select("text")
+    return chosen.mapInArrow(read, "set_key binary, tokens array<bigint>").join(wanted, "set_key").select(
+        F.col("node").alias("doc_id"), "tokens").dropDuplicates(["doc_id"])
+
+
+def _nodes(keyed: DataFrame, groups: DataFrame, several: DataFrame, further: DataFrame | None) -> DataFrame:
     """(doc, n, tokens): the first document of each group of equal sets.
 
     The others, a minority as a rule, are taken out by their ids; ids with several rows are looked at apart.
     """
     rows = keyed.select("doc_id", "set_key")
-    several = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     leading = groups.select(F.col("doc").alias("doc_id"), F.col("set_key").alias("own"))
     follow = rows.join(leading, "doc_id", "left").where("own is null or own <> set_key").select("doc_id")
     apart = sized_broadcast(follow.unionByName(several).distinct())
     once = keyed.join(apart, "doc_id", "left_anti")
-    repeated = keyed.join(sized_broadcast(several), "doc_id", "left_semi").join(
+    repeated = keyed.join(several, "doc_id", "left_semi").join(
         leading, "doc_id").where("own = set_key").drop("own").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "tokens")
+    nodes = once.unionByName(repeated).select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "tokens")
+    if further is None:
+        return nodes
+    return nodes.unionByName(keyed.join(further.select("set_key", "node"), "set_key").select(
+        F.col("node").alias("doc"), F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["doc"]))
 
 
-def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row.
+def _labelled(docs: DataFrame, size: int, percent: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, set_key, component_id, leads) of every row, and the ids of several rows.
 
-    ``component_id`` is the smallest doc_id reachable over links, the document included; documents
-    without words link with nothing. Rows that repeat a doc_id and its text have equal results; of several texts under
-    one doc_id that is the first of their groups, one stands for it. A NULL doc_id keeps a NULL component. Other
-    columns are not read.
+    ``leads`` marks rows without words and those of one set in each component, under that set's smallest id.
     """
     read = checkpointed(prefixes(docs, size, percent))
+    several = sized_broadcast(read.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     keyed = read.where("set_key is not null and doc_id is not null")
     firsts = keyed.groupBy("set_key").agg(F.min("doc_id").alias("doc"))
-    groups = checkpointed(firsts.groupBy("doc").agg(F.min("set_key").alias("set_key")))
-    nodes = _nodes(keyed, groups)
+    groups = checkpointed(firsts.groupBy("doc").agg(F.min("set_key").alias("set_key"), F.count(F.lit(1)).alias("sets")))
+    further = _further_sets(keyed, firsts, groups)
+    nodes = _nodes(keyed, groups, several, further)
     profiles = checkpointed(_profiles(nodes, percent, hot))
     cold = checkpointed(_promising(_cold_pairs(profiles, percent), profiles))
     members = _hot_members(profiles)
@@ -302,7 +333,11 @@ def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, h
     open_ids = profiles.where("open").select("doc")
     ids = cold.select(F.explode(F.array("x", "y")).alias("doc")).unionByName(open_ids).distinct()
     wanted = ids.join(groups, "doc").select(F.col("doc").alias("doc_id"), "set_key")
-    sets = checkpointed(whole_sets(docs, wanted, size))
+    found = whole_sets(docs, wanted, size)
+    if further is not None:
+        found = found.unionByName(_more_whole_sets(
+            docs, further.join(ids, further["node"] == ids["doc"], "left_semi"), size))
+    sets = checkpointed(found)
     shared = _shared_tokens(sets, hot)
     bounds = checkpointed(_bounds(shared, percent))
     labels = components(_verified(_allowed(first, bounds), sets, percent), "x", "y")
@@ -316,14 +351,58 @@ def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, h
         labels = components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more),
                             "x", "y")
 
-    node_of = _with_component(firsts, "doc", labels, "component_id").select("set_key", "component_id")
+    node_of = firsts.withColumn("node", F.col("doc"))
+    if further is not None:
+        numbers = further.select("set_key", F.col("node").alias("_node"))
+        node_of = node_of.join(numbers, "set_key", "left").withColumn("node", F.coalesce("_node", "node")).drop("_node")
+    node_of = _with_component(node_of, "node", labels, "component_id").withColumn(
+        "leads", F.col("node") == F.col("component_id"))
+    if further is not None:  # the smallest id of any text of the component
+        least = _with_component(further.select("node", "doc"), "node", labels, "component_id").groupBy(
+            "component_id").agg(F.min("doc").alias("_least"))
+        node_of = node_of.join(least, "component_id", "left").withColumn(
+            "component_id", F.least("component_id", "_least"))
     rows = read.select("doc_id", "n_shingles", "set_key")
-    return rows.join(node_of, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")),
-                                           F.col("doc_id")).alias("component_id"))
+    return rows.join(node_of.select("set_key", "doc", "leads", "component_id"), "set_key", "left").select(
+        "doc_id", "n_shingles", "set_key",
+        F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id")).alias("component_id"),
+        (F.col("set_key").isNull() | (F.col("leads") & (F.col("doc_id") == F.col("doc")))).alias("leads")), several
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose doc_id is their component's id: one of each group, with their own columns."""
-    first = linked(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(sized_broadcast(first), "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+def linked(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row.
+
+    ``component_id`` is the smallest doc_id reachable over links, the document included; documents
+    without words link with nothing. Rows that repeat a doc_id and its text have equal results; different texts
+    under one doc_id are documents of their own, each with its own links. A NULL doc_id keeps a NULL component. Other
+    columns are not read.
+    """
+    rows, _ = _labelled(docs, size, percent, hot)
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
+    """One document of each component, with its own columns: rows that repeat a doc_id and its words are kept once.
+
+    Of documents without words each id is kept once; rows without an id all stay.
+    """
+    rows, several = _labelled(docs, size, percent, hot)
+    leading = rows.where("leads and doc_id is not null").select("doc_id", "set_key").distinct()
+    no_id = docs.where(F.col("doc_id").isNull())
+    if several.isEmpty():
+        return docs.join(sized_broadcast(leading.select("doc_id")), "doc_id", "left_semi").unionByName(no_id)
+    leading, key = checkpointed(leading), fresh(docs, "_set_key")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets in shingle_sets(batches, size):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([_key(s) for s in sets], pa.binary())],
+                                             [*part.schema.names, key])
+
+    once = docs.join(several, "doc_id", "left_anti").join(
+        sized_broadcast(leading.select("doc_id").distinct()), "doc_id", "left_semi")
+    repeated = docs.join(several, "doc_id", "left_semi").mapInArrow(
+        read, T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())]))
+    chosen = leading.select(F.col("doc_id").alias("_id"), F.col("set_key").alias("_key"))
+    repeated = repeated.join(chosen, (repeated["doc_id"] == chosen["_id"]) & repeated[key].eqNullSafe(chosen["_key"]),
+                             "left_semi").dropDuplicates(["doc_id", key]).drop(key)
+    return once.select(*docs.columns).unionByName(repeated.select(*docs.columns)).unionByName(no_id)

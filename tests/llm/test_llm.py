@@ -244,10 +244,30 @@ def test_jaccard_join_odd_rows(odd, nothing):
     assert {(r.doc_id, r.component_id) for r in got if r.doc_id in (4, 7, 8)} == {(4, 4), (7, 7), (8, 7)}
     kept = jaccard_join.one_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 5, 6, 7]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
     assert jaccard_join.linked(nothing).count() == 0
 
 
+def test_jaccard_join_of_several_texts_under_one_id(spark):
+    """Every text of an id has its own links, and one row of each component is kept."""
+    rng = np.random.default_rng(3)
+    a, b, c, d = (" ".join(rng.choice([f"v{i}" for i in range(900)], 120)) for _ in range(4))
+    rows = [(1, a), (1, b), (4, b + " "), (5, a + " one"), (6, c), (6, b + " two"), (2, d), (2, d), (2, ""), (2, None),
+            (8, d + " three"), (9, "alone in the world today"), (7, c + " four"), (3, c + " five")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    brute = brute_components(dict(enumerate(t for _, t in rows)))
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[brute[i][1]] = min(doc, least.get(brute[i][1], doc))
+    expected = sorted((doc, brute[i][0], least[brute[i][1]]) for i, (doc, _) in enumerate(rows))
+    got = jaccard_join.linked(df)
+    assert sorted(map(tuple, got.collect())) == expected and (5, 118, 1) in expected
+    kept = [tuple(r) for r in jaccard_join.one_of_each(df).collect()]
+    # a and its near copy, b and both of its copies, c and its copies, d and its copy, one text without words, one alone
+    assert len(kept) == 6 and sum(1 for _, t in kept if not t) == 1
+    assert {t[:20] for _, t in kept if t} == {t[:20] for t in (a, b, c, d, "alone in the world today")}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 100), (5, 5)] + [(1000, 1000 + i) for i in range(1, 200)]
     got = {r.node: r.component for r in components.components(
