@@ -138,7 +138,7 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", is_qu
     ringed = index.withColumn("ring", F.floor(F.col("distance") / width[F.col("dim")]).cast("int"))
     summary = ringed.groupBy("dim", "pivot", "ring").agg(
         F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.max("norm").alias("longest"),
-        F.count(F.lit(1)).alias("n")).collect()
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("bigint")).alias("asked")).collect()
     parts = spark.createDataFrame([(r.dim, r.pivot, r.ring, -(-r.n // BLOCK)) for r in summary],
                                   "dim int, pivot int, ring int, parts int")
     cell = ["dim", "pivot", "ring"]
@@ -159,8 +159,9 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", is_qu
                 gap = np.maximum(np.maximum(lo - away, away - hi), 0)
                 norm = np.linalg.norm(q)
                 bound = np.minimum((norm ** 2 + longest ** 2 - gap ** 2) / 2, norm * longest)
-                # a little slack covers rounding of the distances
-                go = np.flatnonzero(bound * (1 + 1e-9) + 1e-3 >= floor) if floor is not None else np.arange(len(pivot))
+                # slack for rounding: its size is that of the terms, which may cancel out, and its sign is always the same
+                bound += 1e-9 * (norm ** 2 + longest ** 2 + gap ** 2 + away ** 2) + 1e-3
+                go = np.flatnonzero(bound >= floor) if floor is not None else np.arange(len(pivot))
                 go = go[np.argsort(gap[go], kind="stable")]
                 n = len(go)
                 yield pa.RecordBatch.from_arrays(
@@ -176,7 +177,8 @@ def nearest(df: DataFrame, key: str = "vec_id", vector: str = "embedding", is_qu
     asked = asked.groupBy("dim", "query_id", "v").agg(F.max("floor").alias("floor"))
     planned = asked.select("dim", "query_id", "floor", "v").mapInArrow(
         visits, "dim int, pivot int, ring int, query_id bigint, floor bigint, v binary")
-    groups = planned.groupBy(*cell, F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("g")).agg(
+    lists = max(1, -(-sum(r.asked for r in summary) // QUERY_BLOCK))  # lists keep their length as queries grow in number
+    groups = planned.groupBy(*cell, F.pmod(F.xxhash64("query_id"), F.lit(lists)).alias("g")).agg(
         F.collect_list(F.struct("query_id", "floor", "v")).alias("qs"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -301,6 +301,19 @@ def test_nearest_matches_brute_force(spark):
     assert pivot_search.nearest(df.limit(0), is_query=F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("dim", [1, 2])
+def test_nearest_with_negative_scores_and_exact_ties(spark, dim):
+    """Bounds that equal the score, below zero: a tie to a smaller id in a ring of its own must be visited."""
+    rng = np.random.default_rng(dim)
+    v = [[5.0] * dim, [3.0] * dim] + rng.integers(-30, 0, (200, dim)).astype(float).tolist()
+    rows = [(int(k), x) for k, x in zip(rng.permutation(400), v)]
+    asked = {k for k, _ in rows[:2]} | {k for k, _ in rows[::20]}
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for top in (1, 3):
+        got = pivot_search.nearest(df, is_query=F.col("vec_id").isin(asked), top=top, pivots=8, rings=12)
+        assert sorted(tuple(r) for r in got.collect()) == brute_nearest(rows, asked.__contains__, top)
+
+
 def test_large_components_keep_exact_scores(spark):
     rows = [(i, [float(x) for x in np.random.default_rng(i).integers(-10**6, 10**6, 4)]) for i in range(40)]
     got = pivot_search.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"),
