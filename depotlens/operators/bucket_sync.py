@@ -21,10 +21,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from depotlens.operators.sync import snapshot_sync
+from depotlens.session import SMALL_TASK_BYTES, small_tasks
 
 MANIFEST_SCHEMA = ("bucket INT, folder STRING, row_count BIGINT, key_count BIGINT, digest DECIMAL(38,0), "
                    "buckets INT, table_schema STRING")
 BUCKET = "_bucket"
+ROWS_PER_PARTITION = 250_000
+
+
+def _partitions(rows: int) -> int:
+    return -(-rows // ROWS_PER_PARTITION) or 1
 
 
 def _bucket_of(key: Sequence[str], buckets: int) -> Column:
@@ -69,13 +75,16 @@ def _no_rows(spark: SparkSession, buckets: int, schema: T.StructType) -> DataFra
     return spark.createDataFrame([(-1, "", 0, 0, Decimal(0), buckets, schema.json())], MANIFEST_SCHEMA)
 
 
-def store_version(df: DataFrame, version: str, key: Sequence[str], buckets: int) -> None:
-    """Store ``df`` as a first version. Choose ``buckets`` so that one fits a task."""
-    folder = f"{version.rstrip('/')}/rows-{uuid.uuid4().hex}"
-    _write_rows(df, folder, key, buckets)
-    stored = df.sparkSession.read.schema(df.schema).parquet(folder)
+def store_version(df: DataFrame, version: str, key: Sequence[str], buckets: int,
+                  task_bytes: int = SMALL_TASK_BYTES) -> None:
+    """Store ``df`` as a first version. Tasks take ``task_bytes`` each, so a bucket may be larger than what fits one."""
+    spark, folder = df.sparkSession, f"{version.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    with small_tasks(spark, task_bytes):
+        _write_rows(df, folder, key, buckets)
+    stored = spark.read.schema(df.schema).parquet(folder)
     described = _described(bucket_digests(stored, key, buckets), folder, buckets, df.schema.json())
-    _write_manifest(described.unionByName(_no_rows(df.sparkSession, buckets, df.schema)), version)
+    with small_tasks(spark, task_bytes, _partitions(stored.count())):  # counted by the files' footers
+        _write_manifest(described.unionByName(_no_rows(spark, buckets, df.schema)), version)
 
 
 def _read(spark: SparkSession, held: Sequence, schema) -> DataFrame:
@@ -108,21 +117,29 @@ def _entries(spark: SparkSession, version: str) -> list:
         raise ValueError(f"{version} is not a complete version: it has no manifest") from error
 
 
-def stale_buckets(spark: SparkSession, version: str, source: DataFrame, key: Sequence[str]) -> list[int]:
-    """Buckets that a synchronisation with ``source`` would change, in ascending order."""
+def _compared(spark: SparkSession, version: str, source: DataFrame, key: Sequence[str], task_bytes: int) -> list:
+    """(bucket, stale, rows) of every bucket: whether a synchronisation changes it, and the rows of both sides."""
     held = _manifest(spark, version)
-    buckets = held.select("buckets").first().buckets
-    wanted = bucket_digests(source, key, buckets).select(
-        "bucket", F.col("key_count").alias("_keys"), F.col("digest").alias("_digest"))
+    known = held.agg(F.max("buckets").alias("buckets"), F.sum("row_count").alias("rows")).first()
+    wanted = bucket_digests(source, key, known.buckets).select(
+        "bucket", F.col("row_count").alias("_rows"), F.col("key_count").alias("_keys"), F.col("digest").alias("_digest"))
     have = held.where("row_count > 0")
     compared = have.join(wanted, "bucket", "full")
     same = (F.col("row_count") == F.col("key_count")) & (F.col("key_count") == F.col("_keys")) & (
         F.col("digest") == F.col("_digest"))
-    return sorted(r.bucket for r in compared.where(~F.coalesce(same, F.lit(False))).select("bucket").collect())
+    rows = F.coalesce("row_count", F.lit(0)) + F.coalesce("_rows", F.lit(0))
+    with small_tasks(spark, task_bytes, _partitions(known.rows)):
+        return compared.select("bucket", (~F.coalesce(same, F.lit(False))).alias("stale"), rows.alias("rows")).collect()
+
+
+def stale_buckets(spark: SparkSession, version: str, source: DataFrame, key: Sequence[str],
+                  task_bytes: int = SMALL_TASK_BYTES) -> list[int]:
+    """Buckets that a synchronisation with ``source`` would change, in ascending order."""
+    return sorted(r.bucket for r in _compared(spark, version, source, key, task_bytes) if r.stale)
 
 
 def sync_version(spark: SparkSession, current: str, source: DataFrame, following: str, key: Sequence[str],
-                 order_by: Sequence[Column] = ()) -> list[int]:
+                 order_by: Sequence[Column] = (), task_bytes: int = SMALL_TASK_BYTES) -> list[int]:
     """Synchronise the stored version ``current`` with ``source`` into ``following``; returns the buckets rewritten.
 
     The result has the rows of :func:`depotlens.operators.sync.snapshot_sync`. ``current`` is only read, and its
@@ -132,14 +149,16 @@ def sync_version(spark: SparkSession, current: str, source: DataFrame, following
         raise ValueError("the new version needs its own directory")
     held = _entries(spark, current)
     buckets, schema = held[0].buckets, _schema(held[0].table_schema)
-    stale = stale_buckets(spark, current, source, key)
+    changes = [r for r in _compared(spark, current, source, key, task_bytes) if r.stale]
+    stale = sorted(r.bucket for r in changes)
     kept = _manifest(spark, current).where(~F.col("bucket").isin(stale)) if stale else _manifest(spark, current)
-    if stale:
-        mine = _read(spark, [e for e in held if e.bucket in set(stale) and e.row_count], schema)
-        theirs = source.where(_bucket_of(key, buckets).isin(stale))
-        folder = f"{following.rstrip('/')}/rows-{uuid.uuid4().hex}"
-        _write_rows(snapshot_sync(mine, theirs, key, order_by), folder, key, buckets)
-        rewritten = spark.read.schema(schema).parquet(folder)
-        kept = kept.unionByName(_described(bucket_digests(rewritten, key, buckets), folder, buckets, schema.json()))
-    _write_manifest(kept.where("row_count > 0").unionByName(_no_rows(spark, buckets, schema)), following)
+    with small_tasks(spark, task_bytes, _partitions(sum(r.rows for r in changes))):
+        if stale:
+            mine = _read(spark, [e for e in held if e.bucket in set(stale) and e.row_count], schema)
+            theirs = source.where(_bucket_of(key, buckets).isin(stale))
+            folder = f"{following.rstrip('/')}/rows-{uuid.uuid4().hex}"
+            _write_rows(snapshot_sync(mine, theirs, key, order_by), folder, key, buckets)
+            rewritten = spark.read.schema(schema).parquet(folder)
+            kept = kept.unionByName(_described(bucket_digests(rewritten, key, buckets), folder, buckets, schema.json()))
+        _write_manifest(kept.where("row_count > 0").unionByName(_no_rows(spark, buckets, schema)), following)
     return stale

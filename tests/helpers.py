@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 import pyarrow as pa
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -52,3 +53,16 @@ def sales_tables(spark, lines, order_date=D(2024, 1, 1)):
         orders=[{"order_id": 1, "order_date": order_date}],
         order_details=[{"order_id": 1, "product_code": names.index(n), "quantity": q} for n, q in lines],
     )
+
+
+def most_tasks(spark, job) -> int:
+    """Tasks of the widest stage of all that ``job`` runs."""
+    context, group = spark.sparkContext, f"tasks-{uuid.uuid4().hex}"
+    context.setJobGroup(group, "")
+    try:
+        job()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return max(info.numTasks for info in map(tracker.getStageInfo, stages) if info)

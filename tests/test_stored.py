@@ -10,10 +10,11 @@ from depotlens.functions.filters import ALL_DATES
 from depotlens.operators import bucket_sync
 from depotlens.operators.sync import keep_first, snapshot_sync
 from depotlens.plans import abc, fill, sales_store, stock
+from depotlens.session import SCAN_BYTES, SHUFFLE_PARTITIONS, SHUFFLED_BYTES
 from depotlens.sources import footers, reader, writer
 from depotlens.sources.schemas import SPECS
 from depotlens.sources.star_schema import STAR_SPECS
-from tests.helpers import D, make_tables, product, rows, warehouse
+from tests.helpers import D, make_tables, most_tasks, product, rows, warehouse
 from tests.helpers import stock as stock_row
 from tests.test_plans import final_plan, initial_plan
 
@@ -292,3 +293,17 @@ def test_delivery_ids_of_many_suppliers_differ(spark, tmp_path):
     assert sorted(r[0] for r in rows(tables["deliveries"].select("delivery_id"))) == ["1-200000", "2-100000", "3-0"]
     assert tables["deliveries"].dtypes == spark.createDataFrame([], STAR_SPECS["deliveries"].schema).dtypes
     assert tables["delivery_details"].select("delivery_id").distinct().count() == 3
+
+
+def test_a_bucket_of_many_rows_is_synchronised_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(bucket_sync, "ROWS_PER_PARTITION", 1000)
+    before = {c: spark.conf.get(c, None) for c in (SHUFFLE_PARTITIONS, SHUFFLED_BYTES, SCAN_BYTES)}
+    target = spark.range(20_000).select(F.col("id").alias("id"), F.lit("old").alias("v"))
+    source = spark.range(10_000, 30_000).select(F.col("id").alias("id"), F.lit("new").alias("v"))
+    one, two = str(tmp_path / "v1"), str(tmp_path / "v2")
+    bucket_sync.store_version(target, one, KEY, 1, task_bytes=4096)
+    most = most_tasks(spark, lambda: bucket_sync.sync_version(spark, one, source, two, KEY, task_bytes=4096))
+    assert most > int(before[SHUFFLE_PARTITIONS])
+    found = bucket_sync.read_version(spark, two).groupBy("v").agg(F.min("id"), F.max("id"), F.count("id"))
+    assert sorted(rows(found)) == [("new", 20_000, 29_999, 10_000), ("old", 10_000, 19_999, 10_000)]
+    assert {c: spark.conf.get(c, None) for c in before} == before
