@@ -3,10 +3,12 @@ from pyspark.sql import functions as F
 
 from depotlens.operators import sync
 from depotlens.operators.integrity import integrity_checks
+from depotlens.session import SHUFFLE_PARTITIONS, SHUFFLED_BYTES
 from depotlens.sources import writer
 from depotlens.sources.reader import conform, read_snapshot, read_tables, source_path
-from depotlens.sources.schemas import SPECS
-from tests.helpers import D, make_tables, product, rows, stock
+from depotlens.sources.schemas import SPECS, TableSpec
+from depotlens.sources.star_schema import STAR_SPECS
+from tests.helpers import D, make_tables, most_tasks, product, rows, stock
 
 SCHEMA = "id BIGINT, name STRING, n INT"
 KEY = ["id"]
@@ -128,3 +130,18 @@ def test_integrity(spark):
         ("deliveries", "foreign_key", "supplier_id"): 2,
     }
     assert len(found) == 9 + 9 + 4 + 8  # keys, NULLs in keys, NULLs in names, references
+
+
+def test_integrity_of_many_keys_is_checked_by_many_tasks(spark, tmp_path):
+    before = spark.conf.get(SHUFFLED_BYTES, None)
+    path = str(tmp_path / "deliveries")
+    spark.range(30_000).selectExpr("cast(id % 29990 as string) as delivery_id", "id as supplier_id").coalesce(1).write.parquet(path)
+    spec = TableSpec("deliveries", STAR_SPECS["deliveries"].schema, key=("delivery_id",))
+    found, tables = [], {"deliveries": spark.read.parquet(path)}
+
+    def run():
+        found.extend(rows(integrity_checks(tables, {"deliveries": spec}, task_bytes=16384, partitions=64)))
+
+    assert most_tasks(spark, run) > int(spark.conf.get(SHUFFLE_PARTITIONS))
+    assert sorted(found) == [("deliveries", "not_null", "delivery_id", 0), ("deliveries", "primary_key", "delivery_id", 10)]
+    assert spark.conf.get(SHUFFLED_BYTES, None) == before
