@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from depotlens.llm.words import column_bytes
+from depotlens.llm.words import KEPT, column_bytes
 
 SLICE_BYTES = 4 << 20
 MOST_KEPT_BYTES = 192 << 20
@@ -211,7 +211,7 @@ def closed(tokens: Tokens, end_id: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _kept(name, make):
     """What ``make`` returns, made once per worker process."""
-    kept = sys.modules.setdefault("_depotlens_tokens", types.ModuleType("_depotlens_tokens")).__dict__
+    kept = sys.modules.setdefault(KEPT, types.ModuleType(KEPT)).__dict__
     if name not in kept:
         kept[name] = make()
     return kept[name]

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from depotlens.llm import queries, rans_files, rotated_kmeans, token_align, token_chunks
+from depotlens.llm import queries, rans_files, rotated_kmeans, token_align, token_chunks, words
 from depotlens.llm.common import stored, table
 
 BYTE, WORD, PIECE = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -278,3 +279,13 @@ def test_bounds_rule_out_most_centroids(spark, small):
     exact = ((x[:, None] - centroids) ** 2).sum(2)
     assert (exact.argmin(1) == cluster).all() and (exact.min(1) == distance).all()
     assert verified < 0.6 * exact.size
+
+
+def test_stages_of_words_free_the_encoders_of_earlier_stages():
+    texts = pa.array(["one Two  three", None])
+    first = [t.ids.tolist() for t in token_chunks.library_encoder(WORD)[0].tokens(texts, token_chunks.words_and_spaces)]
+    assert words.KEPT in sys.modules
+    assert [w.rows for w in words.words_of(texts)] == [2]
+    assert words.KEPT not in sys.modules
+    again = token_chunks.library_encoder(WORD)[0].tokens(texts, token_chunks.words_and_spaces)
+    assert [t.ids.tolist() for t in again] == first
