@@ -23,7 +23,7 @@ from depotlens.llm.words import KEPT, column_bytes
 SLICE_BYTES = 4 << 20
 MOST_KEPT_BYTES = 192 << 20
 JOINED_CHUNKS = 1000
-SEPARATORS = ("\n", " ¤ ")
+SEPARATORS = ("\n", " ¤ ", " £ ")  # of characters that plain chunks do not have
 # ASCII without white space, and U+00C0 to U+00FF; a space may come first
 _PLAIN = re.compile(rb" ?(?:[!-~]|\xc3[\x80-\xbf])+")
 

@@ -289,3 +289,9 @@ def test_stages_of_words_free_the_encoders_of_earlier_stages():
     assert words.KEPT not in sys.modules
     again = token_chunks.library_encoder(WORD)[0].tokens(texts, token_chunks.words_and_spaces)
     assert [t.ids.tolist() for t in again] == first
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_plain_chunks_can_be_joined_to_long_calls(path):
+    tokenizer = Tokenizer.from_file(path)
+    assert any(len(tokenizer.encode(x, add_special_tokens=False).ids) == 1 for x in token_chunks.SEPARATORS)
