@@ -5,8 +5,9 @@ first ``n - ceil(tn) + l`` tokens share at least ``l``. Tokens that many documen
 are hot and never paired. A document with ``k`` hot tokens gets a prefix longer by ``k``, and longer by
 another ``m - 1`` the more candidates its other tokens promise; a pair must then share ``m`` tokens that
 are not hot before it is verified. A document whose hot tokens exceed its stored prefix is open: pairs
-of two open documents are sought around the purest document of each hot token, and what these stars
-leave in different components is compared in full.
+of two open documents are sought around the purest document of each hot token, its centre, and what these stars
+leave in different components is compared by its differences from the centre. Those of near copies are few and
+differ from each other where the copies themselves share almost all tokens.
 
 Equal sets are one node. Only pairs that are still in different components are verified, so a group of
 copies costs about as many verifications as it has members.
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depotlens.llm.common import checkpointed, fresh, numbered, sized_broadcast
+from depotlens.llm.common import checkpointed, fresh, numbered, release, sized_broadcast
 from depotlens.llm.components import components
 from depotlens.llm.words import windows, words_of
 
@@ -185,24 +186,16 @@ def _star_pairs(members: DataFrame, percent: int) -> DataFrame:
     return pairs.where(_sized(percent)).select("x", "y").distinct()
 
 
-def _shared_tokens(sets: DataFrame, hot: int) -> DataFrame:
-    """(doc, n, token, is_hot) of all tokens that two candidates or more have in their whole sets."""
-    tokens = sets.select(F.col("doc_id").alias("doc"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return tokens.join(counts.select("token", (F.col("df") > hot).alias("is_hot")), "token").select(
-        "doc", "n", "token", "is_hot")
-
-
-def _bounds(shared: DataFrame, percent: int) -> DataFrame:
-    """(doc, n, most_n, most_hot) of the candidates that may still have a link, judged by their whole sets.
+def _bounds(sets: DataFrame, percent: int) -> DataFrame:
+    """(doc, n, most_n) of the candidates that may still have a link, judged by their whole sets.
 
     The common tokens of a pair are among those that each of the two shares with any candidate. With s of these,
-    a document of n tokens can only link with documents of at most s * (100 + percent) / percent - n tokens. Pairs
-    without a common token that is not hot have the same bound with the hot tokens alone.
+    a document of n tokens can only link with documents of at most s * (100 + percent) / percent - n tokens.
     """
-    counts = shared.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("s"), F.sum(F.col("is_hot").cast("int")).alias("h"))
-    return counts.selectExpr("doc", "n", f"s * {100 + percent} div {percent} - n as most_n",
-                             f"h * {100 + percent} div {percent} - n as most_hot").where(
+    tokens = sets.select(F.col("doc_id").alias("doc"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    counts = tokens.join(shared, "token").groupBy("doc", "n").agg(F.count(F.lit(1)).alias("s"))
+    return counts.selectExpr("doc", "n", f"s * {100 + percent} div {percent} - n as most_n").where(
         f"100 * most_n >= {percent} * n")
 
 
@@ -213,28 +206,67 @@ def _allowed(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").where("y_n <= x_most and x_n <= y_most").select(*pairs.columns)
 
 
-def _rest_pairs(members: DataFrame, bounds: DataFrame, rare: DataFrame, percent: int) -> DataFrame:
-    """Pairs of open nodes in different components that may link.
+def _differences(members: DataFrame, bounds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(centre, c_component, c_slack, doc, n, most_n, component, difference, slack) of open nodes that may have a partner.
 
-    Either they have one of the ``rare`` (doc, token), shared but not hot, in common, or the bounds by hot tokens
-    allow a link under a common hot token. A node whose bound is below all sizes under a token has no
-    partner there and leaves before the join.
+    Every node comes once with each of the centres, the purest nodes, of its hot tokens. ``difference`` holds the tokens
+    that one of the two sets has and the other has not. A node whose bound is below all sizes under a token, or that has
+    only nodes of its own component there, has no partner under it.
     """
-    inside = members.select("doc", "component").distinct().join(bounds, "doc")
-
-    def pairs(rows: DataFrame, most: str) -> DataFrame:
-        def side(s: str) -> DataFrame:
-            return rows.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", most, "component")])
+    rows = members.drop("n").join(bounds, "doc")
+    sizes = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"),
+                                      F.min("n").alias("least_n"), F.max("most_n").alias("most"))
+    left = rows.join(sizes, "token").where("a <> b and most_n >= least_n and n <= most")
+    centres = left.groupBy("token").agg(F.min(F.struct("purity", "doc", "component")).alias("c"))
+    grouped = left.join(centres, "token").select(
+        F.col("c.doc").alias("centre"), F.col("c.component").alias("c_component"), "doc", "n", "most_n", "component").distinct()
+    x = sets.select(F.col("doc_id").alias("doc"), F.col("tokens").alias("x_set"))
+    c = sets.select(F.col("doc_id").alias("centre"), F.col("tokens").alias("c_set"))
+    return grouped.where("doc <> centre").join(x, "doc").join(c, "centre").select(
+        "centre", "c_component", (F.size("c_set") * (percent - 100)).alias("c_slack"), "doc", "n", "most_n", "component",
+        F.concat(F.array_except("x_set", "c_set"), F.array_except("c_set", "x_set")).alias("difference")).withColumn(
+        "slack", F.size("difference") * (100 + percent) - F.col("n") * (100 - percent))
+
+
+def _rest_pairs(members: DataFrame, bounds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of open nodes in different components that may link, as far as their components need them.
+
+    Let d(x) be the difference of x from a centre. As x and y differ in |d(x)| + |d(y)| - 2 |d(x) & d(y)| tokens, they link if
+    2 (100 + percent) |d(x) & d(y)| >= slack(x) + slack(y), with slack = (100 + percent) |d| - (100 - percent) n. Where
+    the right side is not positive, both link with the centre. Elsewhere they share a token of their differences. With
+    these in one order, rare ones first, the first common token has enough others behind it in both.
+    """
+    per_token = 2 * (100 + percent)
+    near = checkpointed(_differences(members, bounds, sets, percent))
+    stars = near.where("slack + c_slack <= 0 and component <> c_component").select(
+        F.least("doc", "centre").alias("x"), F.greatest("doc", "centre").alias("y"))
+
+    # the least slack under a centre, and the least one outside of that component
+    each = near.groupBy("centre", "component").agg(F.min("slack").alias("slack"))
+    first = each.groupBy("centre").agg(F.min(F.struct("slack", "component")).alias("first"))
+    others = each.join(first, "centre").where("component <> first.component").groupBy("centre", "first").agg(
+        F.min("slack").alias("other"))
+    tokens = near.join(others, "centre").withColumn(
+        "need", F.expr("slack + if(component = first.component, other, first.slack)")).where(
+        F.size("difference") * per_token >= F.col("need")).select(
+        "centre", "doc", "n", "most_n", "component", "slack", "need", F.explode("difference").alias("token"))
+    shared = tokens.groupBy("centre", "token").agg(
+        F.count(F.lit(1)).alias("df"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    nodes = ["centre", "doc", "n", "most_n", "component", "slack", "need"]
+    prefix = tokens.join(shared.select("centre", "token", "df"), ["centre", "token"]).groupBy(*nodes).agg(
+        F.array_sort(F.collect_list(F.struct("df", "token"))).alias("e")).select(
+        *nodes, F.size("e").alias("size"), F.posexplode("e").alias("pos", "entry")).withColumn(
+        "behind", (F.col("size") - F.col("pos")) * per_token).where("behind >= need")
 
-        return side("x").join(side("y"), "token").where(
-            f"x_component < y_component and y_n <= x_{most} and x_n <= y_{most}").where(_sized(percent)).select(
-            F.least("x_doc", "y_doc").alias("x"), F.greatest("x_doc", "y_doc").alias("y"))
+    def side(s: str) -> DataFrame:
+        return prefix.select("centre", F.col("entry.token").alias("token"), *[
+            F.col(c).alias(f"{s}_{c}") for c in ("doc", "n", "most_n", "component", "slack", "behind")])
 
-    rows = members.select("token", "doc").join(inside, "doc")
-    sizes = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"),
-                                      F.min("n").alias("least_n"), F.max("most_hot").alias("most"))
-    left = rows.join(sizes, "token").where("a <> b and most_hot >= least_n and n <= most")
-    return pairs(left, "most_hot").unionByName(pairs(rare.join(inside, "doc"), "most_n")).distinct()
+    pairs = side("x").join(side("y"), ["centre", "token"]).where(
+        "x_component < y_component and y_n <= x_most_n and x_n <= y_most_n and x_slack + y_slack > 0"
+        " and least(x_behind, y_behind) >= x_slack + y_slack").where(_sized(percent)).select(
+        F.least("x_doc", "y_doc").alias("x"), F.greatest("x_doc", "y_doc").alias("y"))
+    return pairs.unionByName(stars).distinct()
 
 
 def _promising(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -321,6 +353,7 @@ def _labelled(docs: DataFrame, size: int, percent: int, hot: int) -> tuple[DataF
     nodes = _nodes(keyed, groups, several, further)
     profiles = checkpointed(_profiles(nodes, percent, hot))
     cold = checkpointed(_promising(_cold_pairs(profiles, percent), profiles))
+    release(docs.sparkSession)
     members = _hot_members(profiles)
 
     # the partner with the most common tokens for every node, and the centres of the hot tokens
@@ -338,15 +371,17 @@ def _labelled(docs: DataFrame, size: int, percent: int, hot: int) -> tuple[DataF
         found = found.unionByName(_more_whole_sets(
             docs, further.join(ids, further["node"] == ids["doc"], "left_semi"), size))
     sets = checkpointed(found)
-    shared = _shared_tokens(sets, hot)
-    bounds = checkpointed(_bounds(shared, percent))
+    bounds = checkpointed(_bounds(sets, percent))
+    release(docs.sparkSession)
     labels = components(_verified(_allowed(first, bounds), sets, percent), "x", "y")
 
+    release(docs.sparkSession)
     apart = _with_component(_with_component(cold, "x", labels, "cx"), "y", labels, "cy").where("cx <> cy")
     rest = _allowed(apart.select("x", "y"), bounds).unionByName(_promising(_rest_pairs(
-        _with_component(members, "doc", labels, "component"), bounds, shared.where("not is_hot").select("doc", "token"), percent), profiles)).join(
+        _with_component(members, "doc", labels, "component"), bounds, sets, percent), profiles)).join(
         first, ["x", "y"], "left_anti").distinct()
     more = checkpointed(_verified(rest, sets, percent))
+    release(docs.sparkSession)
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("x"), F.col("component").alias("y")).unionByName(more),
                             "x", "y")

@@ -238,6 +238,38 @@ def test_jaccard_join_of_crowded_near_copies(spark, hot):
     assert components_of(df, hot=hot) == brute_components(texts)
 
 
+def test_jaccard_join_of_two_large_groups_just_apart(spark, monkeypatch):
+    """Near copies of a text and of its variant share most tokens, all of them frequent; a text between may link them."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts = {}
+    for bridged in (False, True):
+        base = list(rng.choice(vocabulary, 150))
+        other = list(rng.choice(vocabulary, 16))
+        variant = base[:60] + other + base[76:]
+        for original, copies in ((base, 100), (variant, 50)):
+            for _ in range(copies):
+                copy = list(original)
+                copy[int(rng.integers(150))] = str(rng.choice(vocabulary))
+                texts[len(texts)] = " ".join(copy)
+        if bridged:
+            for text in (base, variant, base[:60] + other[:8] + base[68:]):
+                texts[len(texts)] = " ".join(text)
+    pairs, rest = [], jaccard_join._rest_pairs
+
+    def counted(*args):
+        found = jaccard_join.checkpointed(rest(*args))
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_rest_pairs", counted)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    expected = brute_components(texts)
+    assert components_of(df) == expected
+    assert len({c for _, c in expected.values()}) == 3
+    assert pairs[0] < 2 * len(texts)
+
+
 def test_jaccard_join_odd_rows(odd, nothing):
     got = jaccard_join.linked(odd).collect()
     assert len(got) == 10
