@@ -6,14 +6,13 @@ next one's documents. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
 from depotlens.llm import jaccard_join, knn_quality, pattern_packing, pfair_mix, secret_scan
-from depotlens.llm.common import shared_folder, sized_broadcast, table
+from depotlens.llm.common import release, shared_folder, sized_broadcast, table
 
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
@@ -68,16 +67,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def release(spark):
-    """Let go of what a finished stage left behind.
-
-    Spark removes broadcasts, shuffle files and checkpoints once the driver has collected the objects that stand for
-    them, which a driver with room to spare puts off. Its memory and the shared folder stay smaller this way.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def run(spark, sf_dir):
     """All stages over the documents of a data directory, each one's result stored before the next begins."""
     docs = table(spark, sf_dir, "documents")
