@@ -8,11 +8,11 @@ text by itself.
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,6 @@ SLICE_BYTES = 4 << 20
 MOST_KEPT_BYTES = 192 << 20
 JOINED_CHUNKS = 1000
 SEPARATORS = ("\n", " ¤ ", " £ ")  # of characters that plain chunks do not have
-# ASCII without white space, and U+00C0 to U+00FF; a space may come first
-_PLAIN = re.compile(rb" ?(?:[!-~]|\xc3[\x80-\xbf])+")
 
 
 def _table(values) -> np.ndarray:
@@ -87,6 +85,28 @@ def words_and_spaces(data: np.ndarray) -> np.ndarray:
     return cut
 
 
+# a special string may begin with the one that is left out
+_PLAIN = _table(set(range(0x21, 0x7F)) - {0x3C})
+
+
+def plain_chunks(chunks: list[bytes]) -> np.ndarray:
+    """Which chunks are made of ASCII without white space and ``<``, and of U+00C0 to U+00FF; a space may come first."""
+    count = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    end = np.cumsum(count)
+    first, filled = end - count, count > 0
+    data = np.frombuffer(b"".join(chunks), np.uint8)
+    good, follows = _PLAIN[data], data & 0xC0 == 0x80
+    lead = np.flatnonzero((data[:-1] == 0xC3) & follows[1:])
+    good[lead] = good[lead + 1] = True
+    # but not across two chunks
+    good[end[filled] - 1] &= data[end[filled] - 1] != 0xC3
+    good[first[filled]] &= ~follows[first[filled]]
+    spaced = first[count > 1]
+    good[spaced] |= data[spaced] == 0x20
+    bad = np.append(0, np.cumsum(~good))
+    return filled & (bad[end] == bad[first])
+
+
 def _size(chunks) -> int:
     """Bytes that so many chunks take in a dictionary, as measured for words."""
     return 200 * len(chunks)
@@ -191,7 +211,7 @@ class ChunkEncoder:
             raw = pa.Array.from_buffers(pa.large_binary(), len(start), [
                 None, pa.py_buffer(np.append(start, len(part)).astype(np.int64)), pa.py_buffer(part)])
             coded = raw.dictionary_encode()
-            entry = self.entries(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+            entry = self.entries(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
             count = self.count[entry]
             ids = _gathered(self.ids, self.first[entry], count)
             yield Tokens(first, last - first, ids, np.append(0, np.cumsum(count))[chunks], entry, chunks)
@@ -237,15 +257,13 @@ def library_encoder(path: str, plain_specials: bool = False, most_bytes: int = M
         mark = tokenizer.encode(between, add_special_tokens=False).ids[0] if between else -1
 
         def encode_many(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            plain = [between is not None and _PLAIN.fullmatch(c) is not None for c in chunks]
-            for i in [i for i, c in enumerate(chunks) if plain[i] and b"<" in c]:
-                plain[i] = False  # part of a special string, perhaps
-            simple, others = [c for c, p in zip(chunks, plain) if p], [c for c, p in zip(chunks, plain) if not p]
+            plain = plain_chunks(chunks) if between else np.zeros(len(chunks), bool)
+            simple, others = list(compress(chunks, plain.tolist())), list(compress(chunks, (~plain).tolist()))
             found = tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in others], add_special_tokens=False)
             ids, count = _flat([e.ids for e in found])
             parts, counts = [ids], [count]
             for at in range(0, len(simple), JOINED_CHUNKS):
-                text = "".join([c.decode() + between for c in simple[at:at + JOINED_CHUNKS]])
+                text = between.encode().join([*simple[at:at + JOINED_CHUNKS], b""]).decode()
                 ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
                 ends = np.flatnonzero(ids == mark)
                 keep = np.ones(len(ids), bool)
@@ -254,7 +272,6 @@ def library_encoder(path: str, plain_specials: bool = False, most_bytes: int = M
                 counts.append(np.diff(ends, prepend=-1) - 1)
             ids, count = np.concatenate(parts), np.concatenate(counts)
             place = np.empty(len(chunks), np.int64)
-            plain = np.array(plain, bool)
             place[~plain], place[plain] = np.arange(len(others)), np.arange(len(others), len(chunks))
             return _gathered(ids, (np.cumsum(count) - count)[place], count[place]), count[place]
 

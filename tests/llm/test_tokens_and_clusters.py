@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import sys
 import zlib
 
@@ -295,3 +296,26 @@ def test_stages_of_words_free_the_encoders_of_earlier_stages():
 def test_plain_chunks_can_be_joined_to_long_calls(path):
     tokenizer = Tokenizer.from_file(path)
     assert any(len(tokenizer.encode(x, add_special_tokens=False).ids) == 1 for x in token_chunks.SEPARATORS)
+
+
+def test_plain_chunks_are_told_apart_at_once(monkeypatch):
+    pattern = re.compile(rb" ?(?:[!-;=-~]|\xc3[\x80-\xbf])+")
+    parts = [b"", b" ", b"a", b"<", b"\xc3", b"\xa9", b"\xc3\xa9", b"\xc2\xa0", b"\xe2\x82\xac", b"~", b"\n", b"\x7f", b"\x00"]
+    chunks = [x + y + z for x in parts for y in parts for z in parts]
+    assert token_chunks.plain_chunks(chunks).tolist() == [pattern.fullmatch(c) is not None for c in chunks]
+    assert token_chunks.plain_chunks([]).tolist() == []
+
+    plain, calls = token_chunks.plain_chunks, []
+
+    def counted(given):
+        calls.append(len(given))
+        return plain(given)
+
+    monkeypatch.setattr(token_chunks, "plain_chunks", counted)
+    encoder, specials = token_chunks.library_encoder(BYTE, most_bytes=1)
+    texts = ["café × <b> a b €", " x", "Ã© <|end|>"]
+    got = [t for t in encoder.tokens(pa.array(texts), token_chunks.byte_level, specials)][0]
+    assert len(calls) == 1  # all new chunks of a slice together
+    whole = Tokenizer.from_file(BYTE)
+    assert [got.ids[a:b].tolist() for a, b in zip(got.bounds, got.bounds[1:])] == [
+        whole.encode(x, add_special_tokens=False).ids for x in texts]
