@@ -27,7 +27,8 @@ from pyspark.sql import types as T
 
 from depotlens.llm.common import checkpointed, fresh, numbered, release, sized_broadcast
 from depotlens.llm.components import components
-from depotlens.llm.words import windows, words_of
+from depotlens.llm.words import give_back, windows, words_of
+from depotlens.session import small_batches
 
 SHINGLE_WORDS = 4
 PERCENT = 85
@@ -53,6 +54,7 @@ def shingle_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple
             cuts = np.searchsorted(row, np.arange(words.rows + 1))
             yield (batch.slice(words.first, words.rows),
                    [np.unique(value[cuts[i]:cuts[i + 1]]) for i in range(words.rows)])
+    give_back()
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -343,7 +345,8 @@ def _labelled(docs: DataFrame, size: int, percent: int, hot: int) -> tuple[DataF
 
     ``leads`` marks rows without words and those of one set in each component, under that set's smallest id.
     """
-    read = checkpointed(prefixes(docs, size, percent))
+    with small_batches(docs.sparkSession):
+        read = checkpointed(prefixes(docs, size, percent))
     several = sized_broadcast(read.where("doc_id is not null").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
     keyed = read.where("set_key is not null and doc_id is not null")
@@ -370,7 +373,8 @@ def _labelled(docs: DataFrame, size: int, percent: int, hot: int) -> tuple[DataF
     if further is not None:
         found = found.unionByName(_more_whole_sets(
             docs, further.join(ids, further["node"] == ids["doc"], "left_semi"), size))
-    sets = checkpointed(found)
+    with small_batches(docs.sparkSession):
+        sets = checkpointed(found)
     bounds = checkpointed(_bounds(sets, percent))
     release(docs.sparkSession)
     labels = components(_verified(_allowed(first, bounds), sets, percent), "x", "y")

@@ -21,10 +21,13 @@ from pyspark.sql import functions as F
 
 from depotlens.llm.common import checkpointed, numbered
 from depotlens.llm.token_chunks import closed, library_encoder, words_and_spaces
+from depotlens.llm.words import give_back
+from depotlens.session import small_batches
 
 CAPACITY = 2048
 END_ID = 0
 KEPT_BYTES = 64 << 20  # of chunks in a worker, which the other stages of a pipeline share the executor with
+SLICE_BYTES = 1 << 20
 TOKENIZER_FILE = "word_bpe_49k.json"
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLAN = "length bigint, first bigint, last bigint, base bigint, offset bigint"
@@ -38,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, specials = library_encoder(tokenizer_path, most_bytes=KEPT_BYTES)
         for batch in batches:
-            for tokens in encoder.tokens(batch.column("text"), words_and_spaces, specials):
+            for tokens in encoder.tokens(batch.column("text"), words_and_spaces, specials, SLICE_BYTES):
                 ids, bounds = closed(tokens, END_ID)
                 size = np.diff(bounds)
                 n = -(-size // capacity)
@@ -52,6 +55,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
                     [batch.column("doc_id").take(pa.array(tokens.first + row)), pa.array(piece, pa.int32()),
                      pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
 
@@ -188,7 +192,8 @@ def packed(cut: DataFrame, capacity: int = CAPACITY, position: str | None = None
     order and the first pieces of the sequences ascend in it.
     """
     spark = cut.sparkSession
-    stored = checkpointed(cut)
+    with small_batches(spark):
+        stored = checkpointed(cut)
     histogram = np.zeros(capacity + 1, np.int64)
     for row in stored.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():
         histogram[row.length] = row.n

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import re
 import zlib
 
@@ -16,6 +17,7 @@ import corpus_pipeline
 import public_tokenizers
 from depotlens.llm import (backoff_lm, chat_format, components, host_rules, jaccard_join, knn_quality, pattern_packing,
                            pfair_mix, pivot_search, queries, rendezvous, secret_scan)
+from depotlens.session import ARROW_BYTES, small_batches
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 LONG_WORD = "ab" * 40_000
@@ -759,3 +761,37 @@ def test_pipeline_of_nothing(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         now = stage(spark, now, small)
     assert now.count() == 0
+
+
+def test_near_copies_read_small_batches(spark, monkeypatch, tmp_path):
+    rows = [(i, " ".join(f"w{i % 40}x{j}" for j in range(3000))) for i in range(80)]  # 20 KB each, pairs of copies
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    folder, sets, before = str(tmp_path), jaccard_join.shingle_sets, spark.conf.get(ARROW_BYTES)
+
+    def noted(batches):
+        for i, batch in enumerate(batches):
+            with open(f"{folder}/{os.getpid()}-{i}", "w") as out:
+                out.write(str(batch.nbytes))
+            yield batch
+
+    def measured(batches, size):
+        return sets(noted(batches), size)
+
+    monkeypatch.setattr(jaccard_join, "shingle_sets", measured)
+    monkeypatch.setattr(jaccard_join, "small_batches", lambda s: small_batches(s, 1 << 17))
+    found = jaccard_join.linked(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(i, i % 40) for i in range(80)]
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert len(sizes) > 5 and max(sizes) < 1 << 18
+    assert spark.conf.get(ARROW_BYTES) == before
+
+
+def test_limits_of_batches_are_set_back(spark):
+    for before, inside in ((None, "4194304b"), ("64m", "4194304b"), ("1m", "1m")):
+        if before:
+            spark.conf.set(ARROW_BYTES, before)
+        with pytest.raises(KeyError), small_batches(spark):
+            assert spark.conf.get(ARROW_BYTES) == inside
+            raise KeyError
+        assert spark.conf.get(ARROW_BYTES, None) == before
+        spark.conf.unset(ARROW_BYTES)
