@@ -32,6 +32,7 @@ def near_copies(spark, docs, sf_dir):
 def secrets(spark, docs, sf_dir):
     """Replace secrets by a mark and count the characters anew."""
     model = secret_scan.train(secret_scan.labelled_samples(docs))
+    release(spark)
     found = secret_scan.scan(docs, model)
     return secret_scan.redact(found).withColumn("n_chars", F.when(
         F.size("secret_spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*docs.columns)

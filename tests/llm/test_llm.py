@@ -795,3 +795,14 @@ def test_limits_of_batches_are_set_back(spark):
             raise KeyError
         assert spark.conf.get(ARROW_BYTES, None) == before
         spark.conf.unset(ARROW_BYTES)
+
+
+def test_secrets_let_go_of_the_training_before_the_scan(monkeypatch):
+    steps = []
+    monkeypatch.setattr(secret_scan, "labelled_samples", lambda docs: docs)
+    monkeypatch.setattr(secret_scan, "train", lambda samples: steps.append("train"))
+    monkeypatch.setattr(corpus_pipeline, "release", lambda spark: steps.append("release"))
+    monkeypatch.setattr(secret_scan, "scan", lambda docs, model: steps.append("scan"))
+    with pytest.raises(AttributeError):  # there is nothing to redact
+        corpus_pipeline.secrets(None, None, None)
+    assert steps == ["train", "release", "scan"]
