@@ -7,6 +7,7 @@ import math
 import os
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from depotlens.llm import (backoff_lm, chat_format, components, host_rules, jaccard_join, knn_quality, pattern_packing,
-                           pfair_mix, pivot_search, queries, rendezvous, secret_scan)
+from depotlens.llm import (backoff_lm, chat_format, common, components, host_rules, jaccard_join, knn_quality,
+                           pattern_packing, pfair_mix, pivot_search, queries, rendezvous, secret_scan)
 from depotlens.session import ARROW_BYTES, small_batches
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -807,3 +808,28 @@ def test_secrets_let_go_of_the_training_before_the_scan(monkeypatch):
     with pytest.raises(AttributeError):  # there is nothing to redact
         corpus_pipeline.secrets(None, None, None)
     assert steps == ["train", "release", "scan"]
+
+
+def test_release_gives_native_memory_of_the_driver_back(spark):
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+
+    def resident():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", status.read_text())[1]) / 1024
+
+    taken = [jvm.java.util.zip.Deflater() for _ in range(400)]  # about 1 MB each once used, outside the heap
+    for deflater in taken:
+        deflater.setInput(bytes(200_000))
+        deflater.deflate(bytearray(1000))
+    for deflater in taken[:-1]:
+        deflater.end()
+    for _ in range(3):
+        jvm.System.gc()
+    before = resident()
+    common.release(spark)
+    assert before - resident() > 50
+
+
+def test_release_without_the_command_to_trim(spark, monkeypatch):
+    monkeypatch.setattr(common, "TRIM", "noSuchCommand")
+    common.release(spark)
