@@ -399,6 +399,57 @@ def test_whole_backoff_counts_every_ngram(spark, docs, broadcast_words):
             assert got[doc].log_score == pytest.approx(expected, abs=1e-4)
 
 
+def test_whole_backoff_asks_for_counts_it_does_not_know(spark, docs, monkeypatch, request):
+    """With few words and pairs known beforehand and small packets, texts of one word, repeated ids and empty texts."""
+    for name, value in (("TOP_WORDS", 20), ("HOT_SHARE", 30), ("HOT_PAIRS", 200), ("ASKED_WORDS", 3000), ("WORDS_PER_PART", 2000)):
+        monkeypatch.setattr(backoff_lm, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    rows = [(int(d), t) for d, t in zip(docs.doc_id, docs.text)]
+    rows += [(None, "alone"), (None, "alone"), (-1, "once"), (-2, ""), (-3, None), (-4, "the same"), (-4, "the same again")] + [
+        (1000 + i, f"of w{i % 7}") for i in range(500)]
+    w = [(d, words(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))) for d, t in rows]
+    one = collections.Counter(itertools.chain.from_iterable(x for _, x in w))
+    two = collections.Counter(p for _, x in w for p in zip(x, x[1:]))
+    expected, n = collections.Counter(), collections.Counter()
+    for d, x in w:
+        n[d] += len(x)
+        expected[d] += sum(math.log(two[p] / one[p[0]]) for p in zip(x, x[1:])) + (math.log(one[x[0]] / sum(one.values())) if x else 0)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = backoff_lm._known(frame)
+    asked = backoff_lm.questions(frame, known, 5)
+    assert len(known.words) <= 20 + 30 and known.total == sum(one.values())
+    assert asked.select("packet").distinct().count() > spark.sparkContext.defaultParallelism
+    assert asked.where("grams is not null").count() > 20
+    got = by_id(backoff_lm.scores(frame))
+    assert set(got) == set(n)
+    for d, row in got.items():
+        assert row.n_words == n[d] and row.log_score == pytest.approx(expected[d], abs=1e-4)
+    with pytest.raises(Exception, match="lists of a packet are missing"):
+        backoff_lm.summed(backoff_lm.answered(asked.where("part > 0 or lists is not null"), 5)).collect()
+
+
+def test_whole_backoff_sends_few_bytes_per_word(spark, docs, request):
+    """No row per occurrence is shuffled and nothing joined, with no table small enough to broadcast, as in a large corpus."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    rows = [(int(d) + 1000 * i, " ".join(f"{w}{i % 3}" if len(w) > 5 else w for w in words(t)))
+            for i in range(5) for d, t in zip(docs.doc_id, docs.text)]
+    scored = backoff_lm.scores(spark.createDataFrame(rows, "doc_id bigint, text string"), broadcast_words=0)
+    total = sum(r.n_words for r in scored.collect())
+
+    def shuffled(node):
+        inner = "plan" if node.nodeName().endswith("QueryStage") else "executedPlan" if node.nodeName() == "AdaptiveSparkPlan" else None
+        children = node.children()
+        below = [getattr(node, inner)()] if inner else [children.apply(i) for i in range(children.size())]
+        own = node.metrics().get("shuffleBytesWritten")
+        return (own.get().value() if own.isDefined() else 0) + sum(map(shuffled, below))
+
+    plan = scored._jdf.queryExecution().executedPlan()
+    assert 0 < shuffled(plan) < 16 * total
+    assert "Join" not in plan.toString()
+
+
 def test_lookup_by_shuffle_spreads_frequent_and_missing_keys(spark):
     facts = spark.range(1, 50).selectExpr("id as w", "100 - id as c", "id * 2 as twice")
     rows = spark.range(400).selectExpr("id", "case when id % 4 = 0 then 1 when id % 4 = 1 then 0 when id % 4 = 2 then null "
